@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import ann, bpe, minhash, mixing, quality, rules, secrets, warc
+from sextant.llm import ann, bpe, fm_index, minhash, mixing, quality, rules, secrets, suffixes, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -21,6 +21,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -50,4 +54,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_mixing, op4_nearest, op5_bpe, op6_quality_classifier, op7_near_duplicates, op8_quality_rules, op9_secrets)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_mixing, op4_nearest, op5_bpe, op6_quality_classifier, op7_near_duplicates, op8_quality_rules, op9_secrets, op10_suffix_dedup)}

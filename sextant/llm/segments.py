@@ -9,7 +9,14 @@ else needs to be compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sextant.llm.common import save
 
 _B, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Symbols that are cut into segments at once; a position takes 24 bits of a key.
@@ -65,3 +72,184 @@ class Cutter:
             none = np.zeros(0, np.int64)
             return none.astype(np.uint64), none.astype(np.uint64), none, none
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+# ---- the distributed part ------------------------------------------------------------------
+
+#: Segments of a block that lose their equals before anything is shuffled.
+BLOCK_SEGMENTS = 300_000
+
+FACTS = "uid long, anchor long, start long, windows long"
+
+
+def _starts_of_runs(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    if len(new):
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def first_of_equals(anchor: np.ndarray, content: np.ndarray, uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by anchor, content, uid, start, and in it which segments are the first of their content."""
+    order = np.lexsort((start, uid, content, anchor))
+    return order, _starts_of_runs(anchor[order], content[order])
+
+
+def merged(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals with those of one uid that overlap or touch made one."""
+    if not len(uid):
+        return uid, start, end
+    order = np.lexsort((start, uid))
+    uid, start, end = uid[order], start[order], end[order]
+    new = _starts_of_runs(uid)
+    # the furthest end so far within a uid: one running maximum, each uid lifted above the one before
+    lift = (np.cumsum(new) - 1) * np.int64(end.max() + 1)
+    far = np.maximum.accumulate(end + lift) - lift
+    gap = new.copy()
+    gap[1:] |= start[1:] > far[:-1]
+    at = np.flatnonzero(gap)
+    return uid[at], start[at], far[np.append(at[1:], len(far)) - 1]
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    n = len(arrays[0])
+    return n.to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
+    import zstandard
+
+    n, data, out, at = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:]), [], 0
+    for k in kinds:
+        size = n * np.dtype(k).itemsize
+        out.append(np.frombuffer(data[at : at + size], k))
+        at += size
+    return out
+
+
+_SEGMENT = [np.uint64, np.uint64, np.int64, np.int64, np.uint16]
+_FACT = [np.int64, np.int64, np.int64]
+
+
+def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None], np.ndarray]], window: int, gram: int) -> DataFrame:
+    """A saved table (uid, anchor, start, windows) about rows (uid, text).
+
+    anchor null: these windows all start earlier, too. Otherwise the segment
+    is the first of its content, but its anchor has other contents, which may
+    share some of its windows. All other windows occur once.
+
+    Of equal segments in a block of documents, all but the first are settled
+    there; a block sends each content once, packed by buckets of anchors. So
+    however many copies a passage has, a bucket gets at most one a block.
+    """
+    spark = rows.sparkSession
+    splits = rows.rdd.getNumPartitions()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * splits)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, of, kept, n, turn = Cutter(window, gram), symbols(), [], 0, 0
+
+        def closed(parts: list, turn: int) -> pa.RecordBatch:
+            a, c, s, k, u = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, first = first_of_equals(a, c, u, s)
+            a, c, u, s, k = a[order], c[order], u[order], s[order], k[order]
+            gone = merged(u[~first], s[~first], s[~first] + k[~first])
+            bucket, blobs, kinds = [turn % buckets], [_pack(*gone)], [0]
+            a, c, u, s, k = a[first], c[first], u[first], s[first], k[first].astype(np.uint16)
+            where = (a % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                if edges[b] < edges[b + 1]:
+                    at = order[edges[b] : edges[b + 1]]
+                    bucket.append(b)
+                    kinds.append(1)
+                    blobs.append(_pack(a[at], c[at], u[at], s[at], k[at]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+        for batch in batches:
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = cutter.cut(of(text))
+                if len(found[0]):
+                    kept.append((*found, np.full(len(found[0]), uid, np.int64)))
+                    n += len(found[0])
+                    turn = turn or uid
+                if n >= BLOCK_SEGMENTS:
+                    yield closed(kept, turn)
+                    kept, n, turn = [], 0, turn + 1
+        if kept:
+            yield closed(kept, turn)
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        parts, gone = [], []
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            if kind:
+                parts.append(_unpack(blob, _SEGMENT))
+            else:
+                u, s, e = _unpack(blob, _FACT)
+                gone.append((u, s, e - s))
+        facts = [(*g, np.zeros(len(g[0]), np.int64), np.ones(len(g[0]), bool)) for g in gone]
+        if parts:
+            a, c, u, s, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, first = first_of_equals(a, c, u, s)
+            a, u, s, k = a[order], u[order], s[order], k[order].astype(np.int64)
+            gu, gs, ge = merged(u[~first], s[~first], s[~first] + k[~first])
+            facts.append((gu, gs, ge - gs, np.zeros(len(gu), np.int64), np.ones(len(gu), bool)))
+            a, u, s, k = a[first], u[first], s[first], k[first]
+            begin = np.flatnonzero(_starts_of_runs(a))
+            many = np.repeat(np.diff(np.append(begin, len(a))) > 1, np.diff(np.append(begin, len(a))))
+            facts.append((u[many], s[many], k[many], a[many].view(np.int64), np.zeros(int(many.sum()), bool)))
+        u, s, k, a, none = (np.concatenate(x) for x in zip(*facts, strict=True))
+        return pa.table({"uid": pa.array(u), "anchor": pa.array(a, mask=none), "start": pa.array(s), "windows": pa.array(k)})
+
+    packed = rows.select("uid", "text").mapInArrow(cut, "bucket int, kind int, blob binary")
+    return save(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, FACTS))
+
+
+def residual(rows: DataFrame, facts: DataFrame, window: int, take: Callable[[], Callable[[str, list], list[bytes]]]) -> DataFrame:
+    """(bucket, anchor, uid, start, data): the contents of segments that facts leave open. take() gives a function of (text, [(start, end)])."""
+    spark = rows.sparkSession
+    asked = facts.where("anchor is not null").groupBy("uid").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = take()
+        for batch in batches:
+            bucket, anchor, uid, start, data = [], [], [], [], []
+            for u, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = cut(text, [(w["start"], w["start"] + w["windows"] + window - 1) for w in wanted])
+                for w, x in zip(wanted, found, strict=True):
+                    bucket.append(w["anchor"] % buckets)
+                    anchor.append(w["anchor"])
+                    uid.append(u)
+                    start.append(w["start"])
+                    data.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(anchor, pa.int64()), pa.array(uid, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], ["bucket", "anchor", "uid", "start", "data"])
+
+    texts = rows.select("uid", "text").join(asked.hint("shuffle_hash"), "uid")
+    return texts.select("uid", "text", "asked").mapInArrow(pick, "bucket int, anchor long, uid long, start long, data binary")
+
+
+def apply_removals(rows: DataFrame, facts: DataFrame, found: DataFrame, window: int, finish: Callable, schema: str) -> DataFrame:
+    """finish(text, merged [start, end) of what to remove) for every row (uid, doc_id, text), with doc_id before what it gives."""
+    gone = facts.where("anchor is null").select("uid", "start", "windows").unionByName(found.select("uid", "start", "windows"))
+    spans = gone.groupBy("uid").agg(F.collect_list(F.struct("start", F.col("windows"))).alias("gone"))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s = np.array([g["start"] for g in gone or ()], np.int64)
+                e = np.array([g["start"] + g["windows"] + window - 1 for g in gone or ()], np.int64)
+                _, s, e = merged(np.zeros(len(s), np.int64), s, e)
+                out.append(finish(text, s, e))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c) for c in cols]], ["doc_id", *names])
+
+    joined = rows.select("uid", "doc_id", "text").join(spans.hint("shuffle_hash"), "uid", "left")
+    return joined.select("uid", "doc_id", "text", "gone").mapInArrow(run, f"doc_id long, {schema}")

@@ -180,3 +180,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = signed.select(F.col("uid").alias("label"), F.col("doc_id").alias("component_id"))
     out = skew_join(out, names, ["label"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), (F.col("uid") == F.col("label")).alias("first"), "uid")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the rows that near_duplicates doesn't keep: one row of each component stays, with all its columns.
+
+    Rows that repeat doc_id and text are one component; which of them stays
+    cannot be told from the others by these columns.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    odd = _odd_ids(docs)
+    key = "__row" if odd else "doc_id"
+    found = near_duplicates(numbered.select(F.col(key).alias("doc_id"), "text"))
+    gone = save(found.where(~F.col("first")).select(F.col("doc_id").alias(key)))
+    return numbered.join(gone, key, "left_anti").drop("__row")
+
+
+def _odd_ids(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or repeated."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()

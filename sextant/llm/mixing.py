@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import WORD, fits_broadcast, lookup, save
@@ -53,11 +53,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     last. Rows repeated wholly are taken or left together. An empty table
     gives no rows. Other columns are ignored.
     """
+    rows = save(docs.select("doc_id", _source_key().alias("k"), "source", _size().alias("size"), _hash().alias("h")))
+    state = thresholds(rows, weights, share, cap)
+    out = lookup(rows, state, ["k"]).withColumn("repeats", _repeats())
+    return out.select("doc_id", "source", "size", "h", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mixed corpus itself: each row of docs, with all its columns, as many times as the mix takes it."""
+    state = thresholds(save(docs.select(_source_key().alias("k"), "source", _size().alias("size"), _hash().alias("h"))), weights, share, cap)
+    named = state.select(*[F.col(c).alias(f"__{c}") for c in state.columns])
+    out = lookup(docs.withColumns({"__k": _source_key(), "__h": _hash()}), named, ["__k"])
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), _repeats("__").cast("int")))).drop("__k", "__h", "__copy", *named.columns)
+
+
+def _source_key() -> Column:
+    """A source as a join key: null is one, too."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _hash() -> Column:
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")))
-    h = F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    k = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    rows = save(docs.select("doc_id", k.alias("k"), "source", size.alias("size"), h.alias("h")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _repeats(mark: str = "") -> Column:
+    c = lambda name: F.col(mark + name)
+    return c("whole") + F.when((c("h") < c("cut")) & (c("target") > c("whole") * c("source_size")), 1).otherwise(0)
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """A saved table (k, source_size, target, whole, cut) for rows (k, source, size, h): all rows `whole` times, those with h under cut once more."""
     goal = targets(rows.select("source", "size"), weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = save(goal.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("k"), "source_size", "target", whole.alias("whole"))
@@ -81,8 +111,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         state = save(kept.select(
             F.col("k0").alias("k"), "source_size", "target", "whole", "budget", F.coalesce("b.bucket", end).alias("prefix"),
             F.coalesce(F.col("was") + F.col("b.upto") - F.col("b.words"), F.lit(0)).cast("long").alias("below"), F.coalesce("b.words", F.lit(0)).cast("long").alias("last")))
-    state = save(state.withColumn("cut", F.col("prefix") + F.when((F.col("budget") - F.col("below")) * 2 >= F.col("last"), 1).otherwise(0))
-                 .select("k", "source_size", "target", "whole", "cut"))
-    out = lookup(rows, state, ["k"])
-    repeats = F.col("whole") + F.when((F.col("h") < F.col("cut")) & (F.col("target") > F.col("whole") * F.col("source_size")), 1).otherwise(0)
-    return out.withColumn("repeats", repeats).select("doc_id", "source", "size", "h", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    return save(state.withColumn("cut", F.col("prefix") + F.when((F.col("budget") - F.col("below")) * 2 >= F.col("last"), 1).otherwise(0))
+                .select("k", "source_size", "target", "whole", "cut"))

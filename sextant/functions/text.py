@@ -1,0 +1,156 @@
+"""Text functions as Column expressions: tokenisers, stems, similarity, densities, redaction."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Words that documentation search leaves out.
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with"]
+
+# Suffix, what replaces it, least length of the base; the first that applies wins.
+STEM_RULES = [
+    ("ation", "", 3), ("izing", "ize", 3), ("ating", "ate", 3), ("nning", "n", 2), ("tting", "t", 2), ("pping", "p", 2), ("gging", "g", 2), ("bbing", "b", 2),
+    ("dding", "d", 2), ("mming", "m", 2), ("lling", "l", 2), ("sses", "ss", 2), ("ness", "", 3), ("ment", "", 3), ("tion", "", 3), ("ized", "ize", 3),
+    ("ling", "le", 3), ("ring", "r", 3), ("ning", "n", 3), ("ting", "t", 3), ("ping", "p", 3), ("bing", "b", 2), ("ding", "d", 3), ("ging", "g", 3),
+    ("king", "k", 3), ("ming", "m", 3), ("lled", "ll", 3), ("nned", "n", 3), ("tted", "t", 3), ("pped", "p", 3), ("gged", "g", 3), ("bbed", "b", 3),
+    ("dded", "d", 3), ("ing", "", 3), ("ies", "y", 3), ("ed", "", 3), ("er", "", 3), ("ly", "", 3), ("es", "", 4)]
+
+# Patterns of the content scores.
+FENCE = r"(?m)^```"
+NUMBERED = r"(?m)^\s*\d+[.)]\s+\S"
+QUESTION = r"(?m)\?\s*$"
+DEFINITION = r"(?i)\b(?:is|are|means|refers to|stands for|defined as|denotes|represents)\b"
+BOLD_TERM = r"\*\*([A-Za-z][A-Za-z0-9 _\-./]{1,80})\*\*\s*[—–\-:]\s*\S"
+SEE_ABOVE = (r"(?i)\b(?:see (?:above|below|the previous section|earlier|the next section)|as (?:mentioned|noted|described|shown) (?:above|earlier|previously)|as discussed (?:above|earlier))\b")
+IMPERATIVE = (r"(?im)^\s*(?:install|configure|set|run|create|update|delete|deploy|build|enable|disable|add|remove|verify|check|open|close|copy|paste|click|select|navigate|generate|sign|register|connect|"
+              r"export|import|use|call|invoke|pass|return|ensure|launch|start|stop|restart)\b")
+
+# Headings that name a section's role.
+HEADING_ROLES = [
+    ("changelog", r"^(?:change\s*log|release\s*notes?|history|what'?s\s+new|news)$"), ("faq", r"^(?:faq|frequently\s+asked\s+questions?|questions?\s*&?\s*answers?|q\s*&\s*a)$"),
+    ("troubleshooting", r"\b(?:troubleshoot(?:ing)?|errors?|debug(?:ging)?|fix(?:es)?|known\s+issues?|problems?)\b"), ("tutorial", r"\b(?:tutorial|walk\s*through|quick\s*start|getting\s+started|hello\s+world|step\s+by\s+step)\b"),
+    ("how_to", r"^how[\s-]+to\b"), ("api", r"\b(?:api|endpoint|operation|sdk\s+reference|http\s+reference)\b"), ("reference", r"^(?:reference|cli|configuration|config|options?|parameters?|env(?:ironment)?\s+variables?)\b"),
+    ("example", r"\b(?:examples?|usage(?:\s+example)?|sample\s*(?:code)?|recipes?)\b"), ("other", r"^(?:misc|miscellaneous|other|notes?|appendix)\b")]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: as a lambda's argument it is never inlined into body's own lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def code_words(text: Column) -> Column:
+    """Lower-case runs of two or more letters and digits, camel case split first."""
+    split = F.regexp_replace(text, "([a-z])([A-Z])", "$1_$2")
+    return F.transform(F.regexp_extract_all(split, F.lit("[a-zA-Z0-9]{2,}"), F.lit(0)), lambda w: F.lower(w))
+
+
+def stem(word: Column) -> Column:
+    """A light suffix-stripping stem; words of fewer than five letters stay."""
+    out = F.when(F.length(word) < 5, word)
+    for suffix, put, least in STEM_RULES:
+        base = F.length(word) - len(suffix)
+        out = out.when(word.endswith(suffix) & (base >= least), F.concat(word.substr(F.lit(1), base), F.lit(put)))
+    return out.when(word.rlike("[^s]s$"), word.substr(F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def doc_words(text: Column) -> Column:
+    """Words of prose for documentation search: no front matter, fences or link targets; at least two characters; no stop words."""
+    chain = [
+        (r"(?sm)\A(---|\+\+\+)[ \t]*\r?\n.*?^\1[ \t]*\r?\n?", " "), (r"(?s)```.*?```|~~~.*?~~~", " "), (r"!?\[([^\]]+)\]\([^)]*\)", " $1 "),
+        (r"https?://([^\s)\]'\"<>?#]+)[^\s)\]'\"<>]*", " $1 "), (r"`([^`]+)`", " $1 "), (r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")]
+    plain = F.lower(reduce(lambda t, rule: F.regexp_replace(t, *rule), chain, text))
+    return F.filter(F.regexp_extract_all(plain, F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+
+
+def prose(text: Column) -> Column:
+    front = F.regexp_replace(text, r"(?sm)\A(---|\+\+\+)[ \t]*\r?\n.*?^\1[ \t]*\r?\n?", " ")
+    return F.regexp_replace(front, r"(?s)```.*?```|~~~.*?~~~", " ")
+
+
+def identity(name: Column, ident: Column, query: str) -> Column:
+    """50 for the query itself as name or id, 30 as the name's beginning, 20 as part of the id, else 0."""
+    q = F.lit(query.lower())
+    name, ident = F.lower(name), F.lower(ident)
+    if not query:
+        return F.lit(0.0)
+    return F.when((name == q) | (ident == q), 50.0).when(name.startswith(q), 30.0).when(ident.contains(q), 20.0).otherwise(0.0)
+
+
+def stable_round(value: Column, places: int) -> Column:
+    """Rounded half up after a cast to 12 decimals, so that the last bit of a sum doesn't decide."""
+    return F.round(value.cast("decimal(20,12)"), places).cast("double")
+
+
+def saturate(n: Column, half: float) -> Column:
+    return F.when(n > 0, 1 - F.exp(-n / F.lit(half))).otherwise(0.0)
+
+
+def line_count(text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit("\n")) + 1).otherwise(0)
+
+
+def answerability(text: Column) -> Column:
+    """How likely a section holds an answer, from definitions, instructions, code, steps and questions; 0 to 1, 4 places."""
+    defs = count(text, DEFINITION) + count(text, BOLD_TERM)
+    value = (0.30 * saturate(defs, 2.0) + 0.25 * saturate(count(text, IMPERATIVE), 3.0) + 0.20 * F.when(F.floor(count(text, FENCE) / 2) >= 1, 1.0).otherwise(0.0)
+             + 0.15 * saturate(count(text, NUMBERED), 3.0) + 0.10 * saturate(count(text, QUESTION), 2.0))
+    return F.when(F.length(text) > 0, stable_round(F.least(F.lit(1.0), value), 4)).otherwise(0.0)
+
+
+def quotability(text: Column) -> Column:
+    """Whether a quotation stands on its own: prose, definitions, no references elsewhere, length; 0 to 1, 4 places."""
+    lines = line_count(text)
+    prose_lines = F.greatest(F.lit(0), lines - 5 * F.floor(count(text, FENCE) / 2))
+    intro = F.round(F.least(F.lit(1.0), prose_lines / F.greatest(F.lit(4), lines)), 4)
+    defs = F.round(saturate(count(text, DEFINITION) + count(text, BOLD_TERM), 2.0), 4)
+    alone = F.round(F.greatest(F.lit(0.0), 1 - saturate(count(text, SEE_ABOVE), 1.5)), 4)
+    value = 0.35 * intro + 0.25 * defs + 0.30 * alone + 0.10 * F.round(saturate(lines, 8.0), 4)
+    return F.when(F.length(text) > 0, stable_round(F.least(F.lit(1.0), value), 4)).otherwise(0.0)
+
+
+def heading_role(title: Column) -> Column:
+    """The first role whose heading pattern is found, or null."""
+    trimmed = F.trim(title)
+    return reduce(lambda e, r: e.when(trimmed.rlike("(?i)" + r[1]), r[0]), HEADING_ROLES[1:], F.when(trimmed.rlike("(?i)" + HEADING_ROLES[0][1]), HEADING_ROLES[0][0]))
+
+
+def density_role(text: Column) -> Column:
+    """A role told by the body's questions, steps, instructions or code, or null."""
+    lines = F.greatest(F.lit(1), line_count(text))
+    pairs, steps, told, asked = F.floor(count(text, FENCE) / 2), count(text, NUMBERED), count(text, IMPERATIVE), count(text, QUESTION)
+    return (F.when((asked >= 3) & (asked / lines > 0.05), "faq").when((steps >= 3) & (pairs >= 2), "tutorial").when((told >= 3) & (told / lines > 0.05), "how_to")
+            .when((pairs >= 1) & (pairs / F.greatest(F.lit(1.0), lines / 10) >= 1.0), "example"))
+
+
+def role(title: Column, text: Column) -> Column:
+    return F.coalesce(heading_role(title), density_role(text), F.lit("concept"))
+
+
+def entropy(text: Column) -> Column:
+    """Bits a character."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    part = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+    return F.when(F.length(text) > 0, -F.aggregate(part, F.lit(0.0), lambda s, p: s + p * F.log2(p))).otherwise(0.0)
+
+
+# What trace redaction takes out, and the mark it leaves.
+REDACTIONS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"), ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"), ("sql_literal", r"'(?:[^']|'')*'", "'?'"),
+    ("assignment", r"(?i)\b(password|passwd|secret|token|api_?key)(\s*[:=]\s*)[^\s,;]+", "$1$2<redacted>"), ("number", r"\b\d{6,}\b", "<num>")]
+
+
+def redact(text: Column) -> tuple[Column, Column]:
+    """The text with everything sensitive marked, and the labels that fired, in order."""
+    fired = []
+    for label, pattern, mark in REDACTIONS:
+        fired.append(F.when(text.rlike(pattern), label))
+        text = F.regexp_replace(text, pattern, mark)
+    return text, F.array_compact(F.array(*fired))

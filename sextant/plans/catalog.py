@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sextant.plans import changes, corpus, graphs, symbols, traces
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+for _part in (symbols, corpus, graphs, changes, traces):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE

@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import save
+from sextant.llm.common import lean, save
 
 #: Base rows and queries that meet at once.
 BLOCK = 4096
@@ -197,7 +197,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
                     [kept.column(0), kept.column(3), kept.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(order[:, 0]), pa.array(list(order), pa.list_(pa.int32()))],
                     ["vec_id", "row", "query", "vec", "part", "probes"])
 
-    placed = save(rows.mapInArrow(place, "vec_id long, row long, query boolean, vec binary, part int, probes array<int>"))
+    placed = save(rows.mapInArrow(lean(place), "vec_id long, row long, query boolean, vec binary, part int, probes array<int>"))
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as parts
     asked = placed.where("query").count()
     blocks = F.array(*[F.lit(-(-counts.get(p, 0) // block)) for p in range(parts)])

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.llm.common import save
+from sextant.llm.common import lean, save, trim
 
 #: Bytes of text that share one dictionary of words.
 BLOCK_BYTES = 8 << 20
 #: Distinct words of a block after which it is closed, whatever its size.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
+#: Documents of a block that are packed together.
+GROUP = 256
+#: Words are dealt out by hash to at most so many buckets.
+BUCKETS = 4096
 
-MAPPED = "kind int, block string, doc_id long, word binary, n long, places binary"
+MAPPED = "kind int, block long, bucket int, docs array<long>, blob binary"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,110 +30,164 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+def _planes(a: np.ndarray) -> bytes:
+    """Integers as four planes of bytes: the high ones are mostly zero and compress away."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+
+
+def _pack(*arrays: np.ndarray, rest: bytes = b"") -> bytes:
+    """Arrays of one length and a rest, compressed."""
+    import zstandard
+
+    return len(arrays[0]).to_bytes(4, "little") + zstandard.ZstdCompressor(level=6).compress(b"".join(map(_planes, arrays)) + rest)
+
+
+def _unpack(blob: bytes) -> tuple[int, bytes]:
+    import zstandard
+
+    return int.from_bytes(blob[:4], "little"), zstandard.ZstdDecompressor().decompress(blob[4:])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Explode documents into pre-tokens, a block at a time.
 
-    A block yields a row per distinct word (kind 0: its number in the block)
-    and a row per document (kind 1: the numbers of its words by position,
-    compressed). So a word common everywhere is shuffled once a block.
+    A block yields its distinct words, packed by hash bucket (kind 0), and its
+    documents as the numbers of their words by position (kind 1). Words are
+    numbered as they are first seen, so common ones have small numbers that
+    compress well; a row without documents has their order in the buckets.
+    So a word common everywhere is shuffled once a block, and no text is.
     """
     import uuid
 
     import regex
-    import zstandard
+    import xxhash
 
-    find, pack = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=3).compress
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("doc_id", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("places", pa.binary())])
+    find = regex.compile(pattern).findall
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("blob", pa.binary())])
 
     class Numbers(dict):
         def __missing__(self, word):
             self[word] = n = len(self)
             return n
 
-    def closed(block: str, words: Numbers, docs: list) -> Iterator[pa.RecordBatch]:
-        n = len(words)
-        none = lambda t, k: pa.nulls(k, t)
-        listed = pa.array((w.encode("utf-8", "surrogatepass") for w in words), pa.binary(), size=n)
-        for at in range(0, n, 1 << 16):
-            k = min(1 << 16, n - at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array([block] * k, pa.string()), none(pa.int64(), k), listed.slice(at, k), pa.array(np.arange(at, at + k)), none(pa.binary(), k)], schema=schema)
-        if docs:
-            k = len(docs)
-            doc, count, places = zip(*docs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array([block] * k, pa.string()), pa.array(doc, pa.int64()), none(pa.binary(), k), pa.array(count, pa.int64()), pa.array(places, pa.binary())], schema=schema)
-
-    block, words, docs, size = uuid.uuid4().hex, Numbers(), [], 0
+    def closed(words: Numbers, docs: list) -> Iterator[pa.RecordBatch]:
+        block = uuid.uuid4().int >> 65
+        listed = [w.encode("utf-8", "surrogatepass") for w in words]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int64, len(listed))
+        order = sorted(range(len(listed)), key=lambda i: (bucket[i], listed[i]))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            if edges[b] < edges[b + 1]:
+                part = [listed[i] for i in order[edges[b] : edges[b + 1]]]
+                rows.append((0, block, b, None, _pack(np.fromiter(map(len, part), np.uint32, len(part)), rest=b"".join(part))))
+        rows.append((1, block, -1, [], _pack(np.array(order, np.uint32))))
+        for lo in range(0, len(docs), GROUP):
+            part = docs[lo : lo + GROUP]
+            counts = np.array([len(x) for _, x in part], np.uint32)
+            rows.append((1, block, -1, [d for d, _ in part], _pack(counts, rest=_planes(np.concatenate([x for _, x in part])))))
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), schema, strict=True)], schema=schema)
+
+    words, docs, size = Numbers(), [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = find(text or "")
-            places = np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
-            docs.append((doc, len(found), pack(places.tobytes())))
+            docs.append((doc, np.fromiter(map(words.__getitem__, found), np.uint32, len(found))))
             size += len(text or "")
             if size >= block_bytes or len(words) >= BLOCK_WORDS:
-                yield from closed(block, words, docs)
-                block, words, docs, size = uuid.uuid4().hex, Numbers(), [], 0
+                yield from closed(words, docs)
+                words, docs, size = Numbers(), [], 0
     if docs:
-        yield from closed(block, words, docs)
-
+        yield from closed(words, docs)
 
-def _encoder(ranks: dict[bytes, int], pattern: str):
-    import tiktoken
 
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def encode_words(packed: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(block, bucket, blob): the numbers of ids and the ids of the words of (block, bucket, blob), in their order.
 
-
-def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(word, ids): the ids, little-endian unsigned 32-bit, of each distinct word."""
+    packed is dealt out by bucket, so all blocks' equal words are in one task,
+    which encodes each distinct one once and copies the ids.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
-        for batch in batches:
-            bpe = bpe or _encoder(load_ranks(ranks_path), pattern)._core_bpe
-            col = batch.column(0)
-            ids = [np.array(bpe.encode_single_piece(w), "<u4").tobytes() for w in col.to_pylist()]
-            yield pa.RecordBatch.from_arrays([col, pa.array(ids, pa.binary())], ["word", "ids"])
+        import tiktoken
 
-    return words.select("word").mapInArrow(encode, "word binary, ids binary")
+        bpe, known = None, {}
+        for batch in batches:
+            bpe = bpe or tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})._core_bpe
+            out = []
+            for blob in batch.column(2).to_pylist():
+                n, data = _unpack(blob)
+                ends = 4 * n + np.cumsum(_from_planes(data, n).astype(np.int64))
+                ids, at = [], 4 * n
+                for end in ends.tolist():
+                    word = data[at:end]
+                    if (got := known.get(word)) is None:
+                        known[word] = got = bpe.encode_single_piece(word)
+                    ids.append(got)
+                    at = end
+                flat = np.fromiter((i for x in ids for i in x), np.uint32)
+                out.append(_pack(np.fromiter(map(len, ids), np.uint32, n), rest=_planes(flat)))
+                if len(known) > BLOCK_WORDS:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "blob"])
+
+    return packed.select("block", "bucket", "blob").mapInArrow(lean(encode), "block long, bucket int, blob binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids) of docs (doc_id, text): ids as little-endian unsigned 32-bit integers.
 
     Pre-tokens are exploded with their positions, a block's documents sharing
-    a dictionary; a shuffle by word leaves each distinct word once, to be
-    encoded; ids join back to the blocks; blocks reassemble by position.
+    a dictionary; a shuffle by word brings equal words together, to be encoded
+    once; ids join back to the blocks, which reassemble by position.
     A null text is empty and has no ids; repeated rows each have a row; an
     empty table gives none; other columns are ignored.
     """
+    spark = docs.sparkSession
+    buckets = min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    mapped = save(rows.mapInArrow(lambda b: _blocks(b, pattern, block_bytes), MAPPED), "kind")
-    words = mapped.where("kind = 0").select("block", "word", "n")
-    ids = encode_words(words.select("word").distinct(), ranks_path, pattern)
-    known = words.join(ids, "word").select("block", "n", "ids")
+    mapped = save(rows.mapInArrow(lean(lambda b: _blocks(b, pattern, block_bytes, buckets)), MAPPED), "kind")
+    known = encode_words(mapped.where("kind = 0").repartition(buckets, "bucket"), ranks_path, pattern)
 
     def assemble(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        n = left.num_rows
-        order = np.argsort(left.column("n").to_numpy())
-        col = left.column("ids").combine_chunks()
-        parts = [x.as_py() for x in col] if n else []
-        parts = [parts[i] for i in order]
-        lens = np.fromiter((len(p) // 4 for p in parts), np.int64, n)
-        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
-        counts, out = [], []
-        for places in right.column("places").to_pylist():
-            at = np.frombuffer(unpack(places), np.uint32)
-            k = lens[at]
-            total = int(k.sum())
-            ends = np.cumsum(k)
-            take = np.arange(total) + np.repeat(starts[at] - (ends - k), k)
-            out.append(flat[take].tobytes())
-            counts.append(total)
-        return pa.table({"doc_id": right.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    documents = mapped.where("kind = 1").select(F.col("block").alias("of"), "doc_id", "places")
+        lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        bucket, blobs = left.column("bucket").to_numpy(), left.column("blob").to_pylist()
+        for i in np.argsort(bucket):
+            n, data = _unpack(blobs[i])
+            lens.append(_from_planes(data, n).astype(np.int64))
+            flat.append(_from_planes(data[4 * n :], int(lens[-1].sum())))
+        by_bucket, flat = np.concatenate(lens), np.concatenate(flat)
+        listed, blobs = right.column("docs").to_pylist(), right.column("blob").to_pylist()
+        n, data = _unpack(blobs[listed.index([])])
+        order = _from_planes(data, n)
+        lens, starts = np.empty(n, np.int64), np.empty(n, np.int64)
+        lens[order], starts[order] = by_bucket, np.cumsum(by_bucket) - by_bucket
+        ids, counts, out = [], [], []
+        for docs, blob in zip(listed, blobs, strict=True):
+            if not docs:
+                continue
+            n, data = _unpack(blob)
+            sizes = _from_planes(data, n).astype(np.int64)
+            places = _from_planes(data[4 * n :], int(sizes.sum()))
+            for doc, lo, hi in zip(docs, (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+                at = places[lo:hi]
+                k = lens[at]
+                ends = np.cumsum(k)
+                total = int(ends[-1]) if len(k) else 0
+                take = np.arange(total) + np.repeat(starts[at] - (ends - k), k)
+                ids.append(doc)
+                out.append(flat[take].astype("<u4").tobytes())
+                counts.append(total)
+        done = pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
+        trim()
+        return done
+
+    documents = mapped.where("kind = 1").select(F.col("block").alias("of"), "docs", "blob")
     return known.groupBy("block").cogroup(documents.groupBy("of")).applyInArrow(assemble, "doc_id long, n_tokens long, ids binary")
 
 
@@ -147,7 +205,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             texts = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(look_up, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(lean(look_up), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def trim() -> None:
+    """Give memory that a finished task used back to the system: a Python worker outlives its tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function of batches for mapInArrow, with trim() after it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def save(df: DataFrame, *partition: str) -> DataFrame:
     """Write df as a scratch table and read it again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession

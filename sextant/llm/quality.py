@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sextant.llm.common import lean
+
 #: Bytes of a passage; a document's passages are equally long.
 PASSAGE = 512
 #: Byte classes: lower, upper, digit, space, newline, stop, mark, symbol, bar, quote or bracket, high byte, other.
@@ -172,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages_each:
             kept = [x[np.unique(np.linspace(a, b - 1, min(passages_each, b - a)).astype(int))].tobytes() for a, b in zip(first, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.binary())], ["id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(encode, "id long, y double, x binary").collect(), key=lambda r: (r.id, r.x))
+    got = sorted(rows.mapInArrow(lean(encode), "id long, y double, x binary").collect(), key=lambda r: (r.id, r.x))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
     size = np.array([len(b) for b in bags], np.int64)
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, FEATURES))
@@ -200,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             values = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(values, 0, 1))], [*batch.schema.names, SCORE])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

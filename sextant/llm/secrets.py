@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sextant.llm.common import lean
+
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -195,7 +197,7 @@ def learn(docs: DataFrame, sample: int = 5000, each: int = 40) -> Grammar | None
                     words += kept
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string())], ["kind", "word"])
 
-    found = rows.mapInArrow(tokens, "kind int, word string").distinct().collect()
+    found = rows.mapInArrow(lean(tokens), "kind int, word string").distinct().collect()
     return fit({r.word for r in found if r.kind == 1}, {r.word for r in found if r.kind == 0})
 
 
@@ -244,7 +246,7 @@ def scan(docs: DataFrame, grammar: Grammar | None, rewrite: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, SPANS, *[REDACTED] * rewrite])
 
     added = [T.StructField(SPANS, T.StringType())] + [T.StructField(REDACTED, T.StringType())] * rewrite
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import save
+from sextant.llm.common import lean, save
 
 _B, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Symbols that are cut into segments at once; a position takes 24 bits of a key.
@@ -206,7 +206,7 @@ def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None]
         u, s, k, a, none = (np.concatenate(x) for x in zip(*facts, strict=True))
         return pa.table({"uid": pa.array(u), "anchor": pa.array(a, mask=none), "start": pa.array(s), "windows": pa.array(k)})
 
-    packed = rows.select("uid", "text").mapInArrow(cut, "bucket int, kind int, blob binary")
+    packed = rows.select("uid", "text").mapInArrow(lean(cut), "bucket int, kind int, blob binary")
     return save(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, FACTS))
 
 
@@ -231,7 +231,7 @@ def residual(rows: DataFrame, facts: DataFrame, window: int, take: Callable[[],
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(anchor, pa.int64()), pa.array(uid, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], ["bucket", "anchor", "uid", "start", "data"])
 
     texts = rows.select("uid", "text").join(asked.hint("shuffle_hash"), "uid")
-    return texts.select("uid", "text", "asked").mapInArrow(pick, "bucket int, anchor long, uid long, start long, data binary")
+    return texts.select("uid", "text", "asked").mapInArrow(lean(pick), "bucket int, anchor long, uid long, start long, data binary")
 
 
 def apply_removals(rows: DataFrame, facts: DataFrame, found: DataFrame, window: int, finish: Callable, schema: str) -> DataFrame:
@@ -252,4 +252,4 @@ def apply_removals(rows: DataFrame, facts: DataFrame, found: DataFrame, window:
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c) for c in cols]], ["doc_id", *names])
 
     joined = rows.select("uid", "doc_id", "text").join(spans.hint("shuffle_hash"), "uid", "left")
-    return joined.select("uid", "doc_id", "text", "gone").mapInArrow(run, f"doc_id long, {schema}")
+    return joined.select("uid", "doc_id", "text", "gone").mapInArrow(lean(run), f"doc_id long, {schema}")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import save, unique_ids
+from sextant.llm.common import lean, save, unique_ids
 from sextant.llm.segments import Cutter, _starts_of_runs, apply_removals, first_of_equals, merged, mix, residual, shared_segments
 
 WINDOW = 100
@@ -113,7 +113,7 @@ def double(rows: DataFrame, lengths: tuple[int, ...] = LENGTHS, partitions: int
     for length in lengths:
         pairs = ranked.withColumn("piece", F.substring("data", done + 1, length - done))
         dealt = pairs.repartitionByRange(partitions, "rank", "piece").sortWithinPartitions("rank", "piece", "uid", "start")
-        ranked = save(dealt.mapInArrow(_rerank(length - done, length == lengths[-1]), "uid long, start long, data binary, rank long"))
+        ranked = save(dealt.mapInArrow(lean(_rerank(length - done, length == lengths[-1])), "uid long, start long, data binary, rank long"))
         done = length
     return ranked.select("uid", "start")
 

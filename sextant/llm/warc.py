@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import save, scratch_dir, skew_join
+from sextant.llm.common import lean, save, scratch_dir, skew_join
 
 READ = 1 << 20
 GZIP, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
@@ -246,7 +246,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
 
-    return save(records.select("page_id", "url", "payload", "revisit", "refers_to", "ordinal").mapInArrow(write, MANIFEST))
+    return save(records.select("page_id", "url", "payload", "revisit", "refers_to", "ordinal").mapInArrow(lean(write), MANIFEST))
 
 
 def read_archives(manifest: DataFrame, path: str, payloads: bool = False) -> DataFrame:
@@ -276,7 +276,7 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
 
     spark = manifest.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return manifest.select("archive").repartition(tasks).mapInArrow(read, RECORDS)
+    return manifest.select("archive").repartition(tasks).mapInArrow(lean(read), RECORDS)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0) -> tuple[DataFrame, str]:

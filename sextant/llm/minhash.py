@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.llm.common import save, skew_join, unique_ids
+from sextant.llm.common import lean, save, skew_join, unique_ids
 from sextant.llm.graphs import components
 
 SHINGLE = 5
 #: Bands of ROWS bins each. A pair of similarity 0.75 meets in no band with a probability of 6e-6.
 BANDS, ROWS = 32, 4
-#: Hubs that a bucket gets in each round after the first.
-HUBS = 8
+#: Hubs that a bucket gets in the second round, and how many times more in each round after that.
+HUBS, MORE = 16, 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,10 +124,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id) stands for it. Classes meet in the buckets of their bands. In each
     bucket every class gets an edge to the smallest one only, and edges are
     confirmed on full sets. Buckets that still hold several components then
-    give, round by round, edges from up to eight more hubs outside their
-    largest component to the classes of other components, until no pair of a
-    bucket is left that is neither tested nor connected: so no link is lost to
-    the star shape, and no round emits more than eight edges a row.
+    give, round by round, stars from more hubs outside their largest component
+    to the classes of other components, until no pair of a bucket is left that
+    is neither tested nor connected: so no link is lost to the star shape. A
+    round has a bounded number of hubs a bucket, so of edges a row; as links
+    join most components in the first rounds, later ones may have more.
 
     A document without words has an empty set, is linked with nothing and
     kept. Rows that repeat a doc_id are documents of their own, the one with
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     rows = unique_ids(docs, docs.sparkSession)
-    signed = save(rows.select("uid", "doc_id", "text").mapInArrow(_sign, SIGNED))
+    signed = save(rows.select("uid", "doc_id", "text").mapInArrow(lean(_sign), SIGNED))
     classes = signed.where("key is not null").groupBy("key").agg(F.min("uid").alias("rep"))
     member = save(skew_join(signed.where("key is not null").select("uid", "key"), classes, ["key"]).select("uid", "rep"))
     reps = signed.join(member.where("uid = rep").select("uid"), "uid", "left_semi")
@@ -144,28 +145,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = save(skew_join(rowed, shared.select("bucket", "hub"), ["bucket"]))
     sizes = buckets.select("uid", "n").distinct()
     wanted = sizes.select("uid")
-    sets = save(rows.select("uid", "text").join(wanted.hint("shuffle_hash"), "uid", "left_semi").mapInArrow(_sets, "uid long, set binary"))
+    sets = save(rows.select("uid", "text").join(wanted.hint("shuffle_hash"), "uid", "left_semi").mapInArrow(lean(_sets), "uid long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = pairs.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b").distinct()
         one = skew_join(near, sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), ["a"])
         two = skew_join(one, sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), ["b"])
-        return save(two.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"))
+        return save(two.select("a", "b", "x", "y").mapInArrow(lean(_confirm), "a long, b long"))
 
     hubs = buckets.where("uid = hub").select("bucket", F.col("uid").alias("a"), F.col("n").alias("na"))
     stars = skew_join(buckets.where("uid <> hub").select("bucket", F.col("uid").alias("b"), F.col("n").alias("nb")), hubs, ["bucket"])
     edges = confirmed(stars)
     labels = components(edges)
-    used = hubs.select("bucket", F.col("a").alias("uid"))
+    used, slots = hubs.select("bucket", F.col("a").alias("uid")), HUBS
     while True:
         named = buckets.select("bucket", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         per = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         largest = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top")).where("parts > 1").select("bucket", F.col("top.label").alias("top"))
         open_ = save(skew_join(named, largest, ["bucket"]).join(used.withColumn("was", F.lit(True)), ["bucket", "uid"], "left"))
-        # hubs: the smallest classes beside the largest component that were none yet, in steps of one a component and bucket
-        free = open_.where("was is null and label <> top").groupBy("bucket", "label").agg(F.min(F.struct("uid", "n")).alias("h"))
-        least = free.groupBy("bucket").agg(*[F.min(F.when(F.pmod(F.xxhash64("label"), F.lit(HUBS)) == i, F.struct("h.uid", "h.n", "label"))).alias(f"h{i}") for i in range(HUBS)])
-        hubs = save(least.select("bucket", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).where("h is not null").select("bucket", F.col("h.uid").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")))
+        # hubs: classes beside the largest component that were none yet, one a slot
+        free = open_.where("was is null and label <> top").withColumn("slot", F.pmod(F.xxhash64("uid"), F.lit(slots)))
+        hubs = save(free.groupBy("bucket", "slot").agg(F.min(F.struct("uid", "n", "label")).alias("h")).select("bucket", F.col("h.uid").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")))
+        slots *= MORE
         if hubs.isEmpty():
             break
         pairs = skew_join(open_.select("bucket", F.col("uid").alias("b"), F.col("n").alias("nb"), "label"), hubs, ["bucket"]).where("label <> la")

@@ -207,12 +207,12 @@ def embedding_drift(spark, sf):
     return search.drift(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("vec")))
 
 
-@query(f"""with r as ({_bm25_sql(["the", "and"], 1.5, 0.75, 10)}), k as (select id, row_number() over (order by score desc, id) rank from r), g as (select doc_id id from labels where quality = 1),
+@query(f"""with r as ({_bm25_sql(TERMS, 1.5, 0.75, 10)}), k as (select id, row_number() over (order by score desc, id) rank from r), g as (select doc_id id from labels where quality = 1),
 h as (select rank, (id in (select id from g))::int rel from k)
-select 0 query, round(coalesce(sum(rel / log2(rank + 1)), 0) / (select sum(1 / log2(i + 1)) from range(1, 1 + least(10, (select count(*) from g))) t(i)), 6) ndcg, round(coalesce(1.0 / min(rank) filter (rel = 1), 0), 6) mrr, round(sum(rel) / (select count(*) from g), 6) recall from h""")
+select 0 query, round(coalesce(sum(rel / log2(rank + 1)), 0) / (select sum(1 / log2(i + 1)) from range(1, 1 + least(10, (select count(*) from g))) t(i)), 6) ndcg, round(coalesce(1.0 / min(rank) filter (rel = 1), 0), 6) mrr, round(coalesce(sum(rel), 0) / (select count(*) from g), 6) recall from h""")
 def retrieval_metrics(spark, sf):
     words = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), _plain_words_all().alias("words"))
-    scored = search.bm25(words, ["the", "and"]).orderBy(F.desc("score"), "id").limit(10)
+    scored = search.bm25(words, TERMS).orderBy(F.desc("score"), "id").limit(10)
     ranked = search.ranked(scored, "q").select(F.lit(0).alias("query"), "id", "rank")
     relevant = table(spark, sf, "labels").where("quality = 1").select(F.lit(0).alias("query"), F.col("doc_id").alias("id"))
     return metrics.retrieval_metrics(ranked, relevant)

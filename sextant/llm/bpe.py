@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.llm.common import lean, save, trim
+from sextant.llm.common import lean, save, scratch_dir, trim
 
 #: Bytes of text that share one dictionary of words.
 BLOCK_BYTES = 8 << 20
@@ -22,7 +23,11 @@ GROUP = 256
 #: Words are dealt out by hash to at most so many buckets.
 BUCKETS = 4096
 
-MAPPED = "kind int, block long, bucket int, docs array<long>, blob binary"
+PACKED = "block long, bucket int, blob binary"
+
+
+#: A block's file: groups of documents and their words' numbers; the first row has none, but the words' order in the buckets.
+FILE = pa.schema([("docs", pa.list_(pa.int64())), ("blob", pa.binary())])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,22 +57,26 @@ def _unpack(blob: bytes) -> tuple[int, bytes]:
     return int.from_bytes(blob[:4], "little"), zstandard.ZstdDecompressor().decompress(blob[4:])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int, buckets: int, path: str) -> Iterator[pa.RecordBatch]:
     """Explode documents into pre-tokens, a block at a time.
 
-    A block yields its distinct words, packed by hash bucket (kind 0), and its
-    documents as the numbers of their words by position (kind 1). Words are
-    numbered as they are first seen, so common ones have small numbers that
-    compress well; a row without documents has their order in the buckets.
-    So a word common everywhere is shuffled once a block, and no text is.
+    A block yields its distinct words, packed by hash bucket; its documents, as
+    the numbers of their words by position, go to a file of the block in the
+    shared folder. Words are numbered as they are first seen, so common ones
+    have small numbers that compress well. So a word common everywhere is
+    shuffled once a block, and no document is. A block of a failed or doubled
+    attempt has a name of its own, which no saved row has.
     """
     import uuid
 
     import regex
     import xxhash
+    from pyarrow import fs
 
+    store, base = fs.FileSystem.from_uri(path)
+    store.create_dir(base, recursive=True)
     find = regex.compile(pattern).findall
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("blob", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
     class Numbers(dict):
         def __missing__(self, word):
@@ -80,18 +89,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int, b
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in listed), np.int64, len(listed))
         order = sorted(range(len(listed)), key=lambda i: (bucket[i], listed[i]))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        with store.open_output_stream(f"{base}/{block}", compression=None) as out, pa.ipc.new_stream(out, FILE) as file:
+            file.write_batch(pa.RecordBatch.from_arrays([pa.array([[]], pa.list_(pa.int64())), pa.array([_pack(np.array(order, np.uint32))])], schema=FILE))
+            for lo in range(0, len(docs), GROUP):
+                part = docs[lo : lo + GROUP]
+                blob = _pack(np.array([len(x) for _, x in part], np.uint32), rest=_planes(np.concatenate([x for _, x in part])))
+                file.write_batch(pa.RecordBatch.from_arrays([pa.array([[d for d, _ in part]], pa.list_(pa.int64())), pa.array([blob])], schema=FILE))
         rows = []
         for b in range(buckets):
-            if edges[b] < edges[b + 1]:
+            if edges[b] < edges[b + 1] or not b:  # the first also says that there is this block
                 part = [listed[i] for i in order[edges[b] : edges[b + 1]]]
-                rows.append((0, block, b, None, _pack(np.fromiter(map(len, part), np.uint32, len(part)), rest=b"".join(part))))
-        rows.append((1, block, -1, [], _pack(np.array(order, np.uint32))))
-        for lo in range(0, len(docs), GROUP):
-            part = docs[lo : lo + GROUP]
-            counts = np.array([len(x) for _, x in part], np.uint32)
-            rows.append((1, block, -1, [d for d, _ in part], _pack(counts, rest=_planes(np.concatenate([x for _, x in part])))))
-        for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), schema, strict=True)], schema=schema)
+                rows.append((block, b, _pack(np.fromiter(map(len, part), np.uint32, len(part)), rest=b"".join(part))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     words, docs, size = Numbers(), [], 0
     for batch in batches:
@@ -151,10 +160,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
     spark = docs.sparkSession
     buckets = min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    mapped = save(rows.mapInArrow(lean(lambda b: _blocks(b, pattern, block_bytes, buckets)), MAPPED), "kind")
-    known = encode_words(mapped.where("kind = 0").repartition(buckets, "bucket"), ranks_path, pattern)
+    path = scratch_dir(spark)
+    packed = save(rows.mapInArrow(lean(lambda b: _blocks(b, pattern, block_bytes, buckets, path)), PACKED))
+    known = encode_words(packed.repartition(buckets, "bucket"), ranks_path, pattern)
+
+    def assemble(key: tuple, left: pa.Table) -> pa.Table:
+        from pyarrow import fs
 
-    def assemble(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        store, base = fs.FileSystem.from_uri(path)
+        with store.open_input_file(f"{base}/{key[0].as_py()}") as file:
+            right = pa.ipc.open_stream(file).read_all()
         lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         bucket, blobs = left.column("bucket").to_numpy(), left.column("blob").to_pylist()
         for i in np.argsort(bucket):
@@ -187,8 +202,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
         trim()
         return done
 
-    documents = mapped.where("kind = 1").select(F.col("block").alias("of"), "docs", "blob")
-    return known.groupBy("block").cogroup(documents.groupBy("of")).applyInArrow(assemble, "doc_id long, n_tokens long, ids binary")
+    return known.groupBy("block").applyInArrow(assemble, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

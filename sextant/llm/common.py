@@ -56,12 +56,11 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def save(df: DataFrame, *partition: str) -> DataFrame:
+def save(df: DataFrame) -> DataFrame:
     """Write df as a scratch table and read it again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Hubs that a bucket gets in the second round, and how many times more in each round after that.
 HUBS, MORE = 16, 8
+#: Classes of a bucket that meet a hub as one array, about.
+CHUNK = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,18 +33,20 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles of five lower-cased words."""
 
     def __init__(self, size: int = SHINGLE, words: int = 1 << 20):
-        self.size, self.words, self.known = size, words, {}
+        import xxhash
+
+        class Hashes(dict):
+            def __missing__(self, word: bytes) -> int:
+                if len(self) >= words:
+                    self.clear()
+                self[word] = h = xxhash.xxh3_64_intdigest(word)
+                return h
+
+        self.size, self.known = size, Hashes()
         self.factors = _mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.words:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -148,34 +152,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = save(rows.select("uid", "text").join(wanted.hint("shuffle_hash"), "uid", "left_semi").mapInArrow(lean(_sets), "uid long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = pairs.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b").distinct()
+        near = pairs.select("a", "b").distinct()
         one = skew_join(near, sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), ["a"])
         two = skew_join(one, sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), ["b"])
         return save(two.select("a", "b", "x", "y").mapInArrow(lean(_confirm), "a long, b long"))
 
     hubs = buckets.where("uid = hub").select("bucket", F.col("uid").alias("a"), F.col("n").alias("na"))
     stars = skew_join(buckets.where("uid <> hub").select("bucket", F.col("uid").alias("b"), F.col("n").alias("nb")), hubs, ["bucket"])
-    edges = confirmed(stars)
+    edges = confirmed(stars.where("100 * least(na, nb) >= 75 * greatest(na, nb)"))
     labels = components(edges)
-    used, slots = hubs.select("bucket", F.col("a").alias("uid")), HUBS
+    chunks = -(-(shared.agg(F.max("m")).first()[0] or 1) // CHUNK)
+    used, slots = None, HUBS
     while True:
         named = buckets.select("bucket", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         per = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         largest = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top")).where("parts > 1").select("bucket", F.col("top.label").alias("top"))
-        open_ = save(skew_join(named, largest, ["bucket"]).join(used.withColumn("was", F.lit(True)), ["bucket", "uid"], "left"))
-        # hubs: classes beside the largest component that were none yet, one a slot
-        free = open_.where("was is null and label <> top").withColumn("slot", F.pmod(F.xxhash64("uid"), F.lit(slots)))
-        hubs = save(free.groupBy("bucket", "slot").agg(F.min(F.struct("uid", "n", "label")).alias("h")).select("bucket", F.col("h.uid").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")))
-        slots *= MORE
+        open_ = save(skew_join(named, largest, ["bucket"]))
+        # hubs: classes beside the largest component that were none yet, one a bucket and slot; each is one in all its buckets
+        free = open_.where("label <> top") if used is None else open_.where("label <> top").join(used, "uid", "left_anti")
+        hubs = save(free.groupBy("bucket", F.pmod(F.xxhash64("uid"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("uid", "n", "label")).alias("h")).select(F.col("h.uid").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")).distinct())
         if hubs.isEmpty():
             break
-        pairs = skew_join(open_.select("bucket", F.col("uid").alias("b"), F.col("n").alias("nb"), "label"), hubs, ["bucket"]).where("label <> la")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
-        new = confirmed(pairs)
+        slots *= MORE
+        placed = open_.select("bucket", F.col("uid").alias("a")).join(hubs, "a")
+        # a bucket's classes in chunks: a hub meets arrays, and what several buckets say of it is made one before pairs are rows
+        listed = open_.groupBy("bucket", F.pmod(F.xxhash64(F.lit(8), "uid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(F.col("uid").alias("b"), F.col("n").alias("nb"), "label")).alias("m"))
+        met = skew_join(placed, listed, ["bucket"])
+        other = F.transform(F.filter("m", lambda x: (x["label"] != F.col("la")) & (100 * F.least(x["nb"], F.col("na")) >= 75 * F.greatest(x["nb"], F.col("na")))), lambda x: x["b"])
+        pairs = met.select("a", "chunk", other.alias("bs")).where(F.size("bs") > 0).groupBy("a", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
+        new = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = components(edges)
-        used = save(used.unionByName(hubs.select("bucket", F.col("a").alias("uid"))))
+        now = hubs.select(F.col("a").alias("uid"))
+        used = save(now if used is None else used.unionByName(now))
     final = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.coalesce("label", "rep").alias("label"))
     out = signed.select("uid", "doc_id", "n").join(final, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     names = signed.select(F.col("uid").alias("label"), F.col("doc_id").alias("component_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import let, stable_round
+from sextant.operators.graph import cut
 
 
 def bm25(tokens: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -119,16 +120,21 @@ def shingle_pairs(tokens: DataFrame, k: int = 5, least: float = 0.85, min_tokens
     """a, b, jaccard of (id, words) by distinct k-word shingles, sets at most twice the other's size, at or over `least`.
 
     Equal word lists are joined by their hash first; of each only the first
-    meets other texts, so copies do not multiply pairs.
+    meets other texts, so copies do not multiply pairs. Of a set of n hashes
+    in order, two that are alike enough share one of the first n - ceil(least
+    * n) + 1, so only those are exploded and joined; candidates are confirmed
+    on whole sets.
     """
     sized = tokens.where(F.size("words") >= min_tokens).withColumn("key", F.sha2(F.array_join("words", " "), 256))
     first = sized.groupBy("key").agg(F.min("id").alias("rep"))
     same = sized.join(first, "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     reps = sized.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    shingles = let(F.col("words"), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))))
-    sets = reps.select("id", shingles.alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    pairs = sets.alias("x").join(sets.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.where("x.n <= 2 * y.n and y.n <= 2 * x.n")
-    both = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-    near = both.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") >= least)
+    shingles = let(F.col("words"), lambda w: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k))))))
+    sets = cut(reps.select("id", shingles.alias("s")).withColumn("n", F.size("s")))
+    prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int"))).alias("h"))
+    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
+    pairs = pairs.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    side = lambda key, name: sets.select(F.col("id").alias(key), F.col("s").alias(name))
+    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").withColumn("both", F.size(F.array_intersect("p", "q")))
+    near = both.withColumn("jaccard", F.col("both") / (F.size("p") + F.size("q") - F.col("both"))).where(F.col("jaccard") >= least)
     return same.unionByName(near.select("a", "b", F.round("jaccard", 6).alias("jaccard")))

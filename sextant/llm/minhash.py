@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sextant.functions.text import let
 from sextant.llm.common import lean, save, skew_join, unique_ids
 from sextant.llm.graphs import components
 
 SHINGLE = 5
-#: Bands of ROWS bins each. A pair of similarity 0.75 meets in no band with a probability of 6e-6.
-BANDS, ROWS = 32, 4
+#: Bands of ROWS bins each. A pair of similarity 0.75 meets in fewer than SHARED bands with a probability of 5e-6,
+#: one of 0.25 in that many with one of 0.01.
+BANDS, ROWS, SHARED = 40, 4, 2
 #: Hubs that a bucket gets in the second round, and how many times more in each round after that.
 HUBS, MORE = 16, 8
 #: Classes of a bucket that meet a hub as one array, about.
@@ -32,7 +34,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles of five lower-cased words."""
 
-    def __init__(self, size: int = SHINGLE, words: int = 1 << 20):
+    def __init__(self, size: int = SHINGLE, words: int = 1 << 18):
         import xxhash
 
         class Hashes(dict):
@@ -129,8 +131,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket every class gets an edge to the smallest one only, and edges are
     confirmed on full sets. Buckets that still hold several components then
     give, round by round, stars from more hubs outside their largest component
-    to the classes of other components, until no pair of a bucket is left that
-    is neither tested nor connected: so no link is lost to the star shape. A
+    to the classes of other components that share two bands with them, until
+    no such pair is left that is neither tested nor connected: so no link is
+    lost to the star shape. A
     round has a bounded number of hubs a bucket, so of edges a row; as links
     join most components in the first rounds, later ones may have more.
 
@@ -145,7 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = save(skew_join(signed.where("key is not null").select("uid", "key"), classes, ["key"]).select("uid", "rep"))
     reps = signed.join(member.where("uid = rep").select("uid"), "uid", "left_semi")
     rowed = reps.select("uid", "n", F.explode("buckets").alias("bucket"))
-    shared = rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("hub")).where("m > 1")
+    shared = save(rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("hub")).where("m > 1"))
     buckets = save(skew_join(rowed, shared.select("bucket", "hub"), ["bucket"]))
     sizes = buckets.select("uid", "n").distinct()
     wanted = sizes.select("uid")
@@ -161,6 +164,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = skew_join(buckets.where("uid <> hub").select("bucket", F.col("uid").alias("b"), F.col("n").alias("nb")), hubs, ["bucket"])
     edges = confirmed(stars.where("100 * least(na, nb) >= 75 * greatest(na, nb)"))
     labels = components(edges)
+    # a hub is one in all its buckets, and a bucket that holds two components is open: so a list names a class once a shared band
+    often = lambda bs: F.array_distinct(F.filter(bs, lambda x, i: x == F.get(bs, i - (SHARED - 1))))
     chunks = -(-(shared.agg(F.max("m")).first()[0] or 1) // CHUNK)
     used, slots = None, HUBS
     while True:
@@ -179,7 +184,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         listed = open_.groupBy("bucket", F.pmod(F.xxhash64(F.lit(8), "uid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(F.col("uid").alias("b"), F.col("n").alias("nb"), "label")).alias("m"))
         met = skew_join(placed, listed, ["bucket"])
         other = F.transform(F.filter("m", lambda x: (x["label"] != F.col("la")) & (100 * F.least(x["nb"], F.col("na")) >= 75 * F.greatest(x["nb"], F.col("na")))), lambda x: x["b"])
-        pairs = met.select("a", "chunk", other.alias("bs")).where(F.size("bs") > 0).groupBy("a", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
+        pairs = met.select("a", "chunk", other.alias("bs")).where(F.size("bs") > 0).groupBy("a", "chunk").agg(let(F.sort_array(F.flatten(F.collect_list("bs"))), often).alias("bs")).select("a", F.explode("bs").alias("b"))
         new = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if not new.isEmpty():
             edges = edges.unionByName(new)

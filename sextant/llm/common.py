@@ -69,6 +69,11 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def narrow(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A saved table of few rows (counted: narrow keys, not texts) as one partition, so that steps over it shuffle nothing; a larger one as it is."""
+    return df.coalesce(1) if fits_broadcast(df, rows) else df
+
+
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """df joined with a saved table of one row a key: broadcast if its counted rows fit, else by skew_join."""
     if fits_broadcast(small):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import save, skew_join
+from sextant.llm.common import narrow, save, skew_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     label, and writes a table; the rounds grow with the logarithm of a
     component's diameter. Nothing but the number of changes reaches the driver.
     """
-    both = save(edges.select("a", "b").where("a <> b").union(edges.select("b", "a").where("a <> b")).distinct())
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    both = narrow(save(edges.select("a", "b").where("a <> b").union(edges.select("b", "a").where("a <> b")).distinct()))
+    join = skew_join if both.rdd.getNumPartitions() > 1 else lambda x, y, on: x.join(y, on)
+    labels = narrow(save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))))
     while True:
-        heard = skew_join(both.withColumnRenamed("a", "node"), labels, ["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        heard = join(both.withColumnRenamed("a", "node"), labels, ["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         better = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("least"))
         own = labels.select(F.col("node").alias("least"), F.col("label").alias("jump"))
-        new = save(skew_join(better, own, ["least"]).select("node", "label", F.least("least", "jump").alias("new")))
+        new = save(join(better, own, ["least"]).select("node", "label", F.least("least", "jump").alias("new")))
         done = new.where("label <> new").isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
+        labels = narrow(new.select("node", F.col("new").alias("label")))
         if done:
             return labels

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sextant.functions.text import let
-from sextant.llm.common import lean, save, skew_join, unique_ids
+from sextant.llm.common import lean, narrow, save, skew_join, unique_ids
 from sextant.llm.graphs import components
 
 SHINGLE = 5
@@ -20,7 +20,7 @@ SHINGLE = 5
 #: one of 0.25 in that many with one of 0.01.
 BANDS, ROWS, SHARED = 40, 4, 2
 #: Hubs that a bucket gets in the second round, and how many times more in each round after that.
-HUBS, MORE = 16, 8
+HUBS, MORE = 1, 8
 #: Classes of a bucket that meet a hub as one array, about.
 CHUNK = 512
 
@@ -167,22 +167,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a hub is one in all its buckets, and a bucket that holds two components is open: so a list names a class once a shared band
     often = lambda bs: F.array_distinct(F.filter(bs, lambda x, i: x == F.get(bs, i - (SHARED - 1))))
     chunks = -(-(shared.agg(F.max("m")).first()[0] or 1) // CHUNK)
-    used, slots = None, HUBS
+    open_, used, slots = buckets.select("bucket", "uid", "n"), None, HUBS
     while True:
-        named = buckets.select("bucket", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        join = skew_join if open_.rdd.getNumPartitions() > 1 else lambda x, y, on: x.join(y, on)
+        named = open_.select("bucket", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         per = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         largest = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top")).where("parts > 1").select("bucket", F.col("top.label").alias("top"))
-        open_ = save(skew_join(named, largest, ["bucket"]))
+        open_ = narrow(save(join(named, largest, ["bucket"])))
+        join = skew_join if open_.rdd.getNumPartitions() > 1 else lambda x, y, on: x.join(y, on)
         # hubs: classes beside the largest component that were none yet, one a bucket and slot; each is one in all its buckets
         free = open_.where("label <> top") if used is None else open_.where("label <> top").join(used, "uid", "left_anti")
         hubs = save(free.groupBy("bucket", F.pmod(F.xxhash64("uid"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("uid", "n", "label")).alias("h")).select(F.col("h.uid").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")).distinct())
+        if open_.rdd.getNumPartitions() == 1:
+            hubs = hubs.coalesce(1)
         if hubs.isEmpty():
             break
         slots *= MORE
         placed = open_.select("bucket", F.col("uid").alias("a")).join(hubs, "a")
         # a bucket's classes in chunks: a hub meets arrays, and what several buckets say of it is made one before pairs are rows
         listed = open_.groupBy("bucket", F.pmod(F.xxhash64(F.lit(8), "uid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(F.col("uid").alias("b"), F.col("n").alias("nb"), "label")).alias("m"))
-        met = skew_join(placed, listed, ["bucket"])
+        met = join(placed, listed, ["bucket"])
         other = F.transform(F.filter("m", lambda x: (x["label"] != F.col("la")) & (100 * F.least(x["nb"], F.col("na")) >= 75 * F.greatest(x["nb"], F.col("na")))), lambda x: x["b"])
         pairs = met.select("a", "chunk", other.alias("bs")).where(F.size("bs") > 0).groupBy("a", "chunk").agg(let(F.sort_array(F.flatten(F.collect_list("bs"))), often).alias("bs")).select("a", F.explode("bs").alias("b"))
         new = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -190,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             edges = edges.unionByName(new)
             labels = components(edges)
         now = hubs.select(F.col("a").alias("uid"))
-        used = save(now if used is None else used.unionByName(now))
+        used = narrow(save(now if used is None else used.unionByName(now)))
     final = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.coalesce("label", "rep").alias("label"))
     out = signed.select("uid", "doc_id", "n").join(final, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     names = signed.select(F.col("uid").alias("label"), F.col("doc_id").alias("component_id"))

@@ -89,6 +89,50 @@ def cycles(edges: DataFrame) -> DataFrame:
     return least.groupBy("scc").agg(F.sort_array(F.collect_list("src")).alias("members")).where(F.size("members") > 1)
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, scc: members of strongly connected components of two nodes and more, named by their least node.
+
+    For graphs whose reachable pairs are too many. In each round every node
+    takes the least node that reaches it; what reaches that node over nodes of
+    the same name is its component, and goes. Edges between names go too.
+    """
+    live = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    found = None
+    while True:
+        n = live.count()
+        while n:  # an edge on a cycle starts where another ends, and ends where another starts
+            ends, starts = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+            live = cut(live.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
+            if (m := live.count()) == n:
+                break
+            n = m
+        if not n:
+            break
+        names = cut(live.select(F.col("src").alias("node")).distinct().withColumn("scc", F.col("node")))
+        while True:
+            heard = live.join(names, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("scc").alias("heard"))
+            new = cut(names.join(heard, "node").select("node", "scc", F.least("scc", "heard").alias("least")))
+            done = new.where("least <> scc").isEmpty()
+            names = new.select("node", F.col("least").alias("scc"))
+            if done:
+                break
+        named = live.join(names.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src").join(names.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
+        inner = cut(named.where("a = b").select("src", "dst", F.col("a").alias("scc")))
+        reached = frontier = cut(names.where("node = scc"))
+        while not frontier.isEmpty():
+            step = inner.join(frontier.select(F.col("node").alias("dst"), "scc"), ["dst", "scc"]).select(F.col("src").alias("node"), "scc").distinct()
+            frontier = cut(step.join(reached, ["node", "scc"], "left_anti"))
+            reached = reached.unionByName(frontier)
+        reached = cut(reached)
+        found = reached if found is None else found.unionByName(reached)
+        gone = reached.select("node")
+        live = cut(inner.join(gone, inner.src == gone.node, "left_anti").join(gone, inner.dst == gone.node, "left_anti").select("src", "dst"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
+    several = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(several, "scc", "left_semi").select("node", "scc")
+
+
 def layer_violations(edges: DataFrame, layers: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges from a node's layer to one that a rule forbids it. layers: (node, layer); rules: (layer, forbidden)."""
     src = layers.select(F.col("node").alias("src"), F.col("layer").alias("src_layer"))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.plans import changes, composites, corpus, graphs, symbols, traces
+from sextant.plans import changes, composites, corpus, graphs, symbols, traces, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-for _part in (symbols, corpus, graphs, changes, traces, composites):
+for _part in (symbols, corpus, graphs, changes, traces, composites, whole):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

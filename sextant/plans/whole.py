@@ -1,0 +1,109 @@
+"""Graph queries over the whole of lineitem: parts as modules, the part on the next line of an order as what it imports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sextant.operators import composites, graph, metrics
+from sextant.plans import composites as composed
+from sextant.plans import graphs
+from sextant.plans.registry import registry
+from sextant.sources import tables
+from sextant.sources.tables import table
+
+QUERIES, ORACLE, query = registry()
+
+STEPS = "(select distinct src, dst from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) dst from lineitem) where src <> dst)"
+
+
+def _sql(name: str) -> str:
+    """The SQL of the query of that name over the nations, with parts and STEPS in their place."""
+    sql = (graphs.ORACLE | composed.ORACLE)[name]
+    return sql.replace(graphs.EDGES, STEPS).replace("n_nationkey", "p_partkey").replace("from nation", "from part")
+
+
+def _start(spark, node: int):
+    return spark.createDataFrame([(node,)], "node bigint")
+
+
+@query(_sql("import_edges"))
+def whole_import_edges(spark, sf):
+    return tables.part_steps(spark, sf)
+
+
+@query(_sql("degrees"))
+def whole_degrees(spark, sf):
+    return metrics.degrees(tables.part_nodes(spark, sf), tables.part_steps(spark, sf))
+
+
+@query(_sql("coupling"))
+def whole_coupling(spark, sf):
+    return metrics.coupling(tables.part_nodes(spark, sf), tables.part_steps(spark, sf))
+
+
+@query(_sql("unstable_modules"))
+def whole_unstable_modules(spark, sf):
+    return metrics.unstable_modules(metrics.coupling(tables.part_nodes(spark, sf), tables.part_steps(spark, sf)))
+
+
+@query(_sql("blast_radius"))
+def whole_blast_radius(spark, sf):
+    return graph.bfs(tables.part_steps(spark, sf), _start(spark, 0), 3)
+
+
+@query(_sql("reachability"))
+def whole_reachability(spark, sf):
+    found = graph.bfs(tables.part_steps(spark, sf), _start(spark, 0)).select("node", F.lit(True).alias("reached"))
+    return tables.part_nodes(spark, sf).join(found, "node", "left").na.fill(False, ["reached"])
+
+
+@query(_sql("pagerank_20_rounds"))
+def whole_pagerank_20_rounds(spark, sf):
+    out = graph.pagerank(tables.part_nodes(spark, sf), tables.part_steps(spark, sf), rounds=20, tolerance=0.0)
+    return out.select("node", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def whole_pagerank(spark, sf):
+    return graph.pagerank(tables.part_nodes(spark, sf), tables.part_steps(spark, sf)).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def whole_import_cycles(spark, sf):
+    return graph.strong_components(tables.part_steps(spark, sf))
+
+
+@query(f"""select src, dst, a.p_size src_layer, b.p_size dst_layer from {STEPS} join part a on a.p_partkey = src join part b on b.p_partkey = dst where b.p_size > a.p_size + 1""")
+def whole_layer_violations(spark, sf):
+    layers = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("layer"))
+    sizes = layers.select("layer").distinct()
+    rules = sizes.alias("a").join(sizes.alias("b"), F.col("b.layer") > F.col("a.layer") + 1).select("a.layer", F.col("b.layer").alias("forbidden"))
+    return graph.layer_violations(tables.part_steps(spark, sf), layers, rules)
+
+
+@query(f"""with e as materialized {STEPS}, s as (select p_partkey as node, p_partkey not in (select dst from e) a, p_partkey not in (select src from e) b, p_partkey not in (select l_partkey from lineitem) c from part)
+select node, round((a::int + b::int + c::int) / 3.0, 6) vote from s""")
+def whole_dead_code_vote(spark, sf):
+    e = tables.part_steps(spark, sf)
+    mark = lambda df, c, name: df.select(F.col(c).alias("node")).distinct().withColumn(name, F.lit(1))
+    out = tables.part_nodes(spark, sf).join(mark(e, "dst", "a"), "node", "left").join(mark(e, "src", "b"), "node", "left").join(mark(table(spark, sf, "lineitem"), "l_partkey", "c"), "node", "left")
+    signals = [F.when(F.col(c).isNull(), 1).otherwise(0) for c in "abc"]
+    return out.select("node", F.round(sum(signals[1:], signals[0]) / 3, 6).alias("vote"))
+
+
+@query(_sql("health_radar"))
+def whole_health_radar(spark, sf):
+    unstable = metrics.unstable_modules(metrics.coupling(tables.part_nodes(spark, sf), tables.part_steps(spark, sf)))
+    c = table(spark, sf, "part").where("p_size > 0").agg(F.avg("p_size").alias("a"))
+    axes = {"complexity": F.round(F.greatest(F.lit(0.0), 100 - F.col("a") * 2), 2), "stability": F.round(100 * (1 - F.col("unstable") / F.col("total")), 2)}
+    return unstable.crossJoin(c).select(*metrics.radar(axes)).drop("grade")
+
+
+@query(_sql("impact_paths"))
+def whole_impact_paths(spark, sf):
+    return composites.impact_paths(tables.part_steps(spark, sf), 0)
+
+
+@query(_sql("callers"))
+def whole_callers(spark, sf):
+    return graph.bfs(graph.invert(tables.part_steps(spark, sf)), _start(spark, 3), 2)

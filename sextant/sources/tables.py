@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SYMBOL_KINDS = ("function", "class", "method", "constant", "type", "template", "import")
@@ -39,6 +39,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
 
 
+def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part to part edges (src, dst) of all lines: the part on an order's next line, in the order of line numbers and parts; self-edges dropped."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return steps.where("src <> dst").distinct()
+
+
+def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+
+
 def runtime_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as trace rows: symbol_id, source, duration_ms, ts, event_id."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol_id"), F.col("event_type").alias("source"), F.col("value").alias("duration_ms"), "ts", "event_id")

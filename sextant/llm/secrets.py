@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.llm.common import lean
+from sextant.llm.common import lean, save
 
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -174,31 +174,59 @@ def fit(credentials: set[str], others: set[str], most: int = 600, least: int = 5
     return Grammar(*made, max(0.25, max(grammar.ratio(w) for w in others if len(w) >= 16 or len(others) < 50) + 0.05) if any(len(w) >= 16 for w in others) else 0.25)
 
 
-def learn(docs: DataFrame, sample: int = 5000, each: int = 40) -> Grammar | None:
-    """Fit on the tokens of about `sample` documents, those with the smallest hashes of doc_id, at most `each` of a kind in each.
+class _Smallest:
+    """The `most` distinct words with the smallest hashes of all that were added."""
 
-    Credentials are what the base rules find there; other tokens are runs of
-    credential characters that have letters only and overlap no finding.
+    def __init__(self, most: int) -> None:
+        self.most, self.words, self.bound = most, {}, None
+
+    def add(self, word: str) -> None:
+        h = hashlib.md5(word.encode()).digest()
+        if self.bound is None or h < self.bound:
+            self.words[word] = h
+            if len(self.words) >= 2 * self.most:
+                self.cut()
+
+    def cut(self) -> None:
+        if len(self.words) > self.most:
+            self.words = dict(sorted(self.words.items(), key=lambda x: x[1])[: self.most])
+            self.bound = max(self.words.values())
+
+
+def learn(docs: DataFrame, credentials: int = 5000, others: int = 20000) -> Grammar | None:
+    """Fit on tokens of all documents: of each kind the distinct ones with the smallest hashes, so many at most.
+
+    Credentials are what the base rules find; other tokens are runs of
+    credential characters that have letters only and overlap no finding. Each
+    task gives its smallest, which hold the smallest of all; counts by hash
+    prefix say which prefixes the driver needs.
     """
-    part = sample / max(sample, docs.count())
-    rows = docs.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad, good = kept = _Smallest(others), _Smallest(credentials)
         for batch in batches:
-            kinds, words = [], []
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                good = {ASSIGN.match(text, s)[2] if k == 0 else text[s:e] for s, k, e in spans}
-                bad = {m[0] for m in LEARNT.finditer(text) if m[0].isalpha() and not any(s < m.end() and m.start() < e for s, _, e in spans)}
-                for kind, found in ((1, good), (0, bad)):
-                    kept = _picked({w[:200] for w in found}, each)
-                    kinds += [kind] * len(kept)
-                    words += kept
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string())], ["kind", "word"])
-
-    found = rows.mapInArrow(lean(tokens), "kind int, word string").distinct().collect()
-    return fit({r.word for r in found if r.kind == 1}, {r.word for r in found if r.kind == 0})
+                for w in {(ASSIGN.match(text, s)[2] if k == 0 else text[s:e])[:200] for s, k, e in spans}:
+                    good.add(w)
+                for w in {m[0][:200] for m in LEARNT.finditer(text) if m[0].isalpha() and not any(s < m.end() and m.start() < e for s, _, e in spans)}:
+                    bad.add(w)
+        for kind, k in enumerate(kept):
+            k.cut()
+            h = [int.from_bytes(x[:2]) >> 4 for x in k.words.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(h), pa.int32()), pa.array(h, pa.int32()), pa.array(list(k.words), pa.string())], ["kind", "prefix", "word"])
+
+    found = save(docs.select("text").mapInArrow(lean(tokens), "kind int, prefix int, word string").distinct())
+    counts = sorted(map(tuple, found.groupBy("kind", "prefix").count().collect()))
+    sets = []
+    for kind, most in ((1, credentials), (0, others)):
+        last, n = -1, 0
+        for k, prefix, m in counts:
+            if k == kind and n < most:
+                last, n = prefix, n + m
+        sets.append(set(_picked({r.word for r in found.where((F.col("kind") == kind) & (F.col("prefix") <= last)).select("word").collect()}, most)))
+    return fit(*sets)
 
 
 def find(text: str, grammar: Grammar | None) -> list[tuple[int, int, int]]:

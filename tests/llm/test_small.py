@@ -248,6 +248,25 @@ def test_grammar_inference():
     assert secrets.fit(set(), {"abcdefghij"}) is None
 
 
+def test_rare_credentials_are_learnt(spark):
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("0123456789abcdefABCDEFghijKLMN") for _ in range(24))
+    words = ["".join(rng.choice(["an", "er", "th", "ing", "ou", "sh"]) for _ in range(rng.randint(6, 12))) for _ in range(400)]
+    # 24 labelled credentials in 60,000 documents: a sample of 5,000 documents would hold about two
+    rows = [(i, f"{rng.choice(words)} password={key()}" if i % 2500 == 7 else rng.choice(words)) for i in range(60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    grammar = secrets.learn(docs)
+    assert grammar is not None
+    assert sum(grammar.ratio(key()) > grammar.limit for _ in range(100)) >= 90
+    few = secrets._Smallest(50)
+    for w in words + words:
+        few.add(w)
+    few.cut()
+    assert sorted(few.words) == sorted(secrets._picked(set(words), 50))
+    # the sample does not depend on how the documents lie in partitions
+    assert secrets.learn(docs, 20, 30) == secrets.learn(docs.repartition(3), 20, 30)
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = random.Random(3)
     words = ["the", "river", "stone", "walks", "green", "light", "under"]

@@ -21,8 +21,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "grammar")
 
-#: What may be a credential that no base rule knows: a run of its characters that isn't part of an address.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9@])")
+#: What may be a credential that no base rule knows: a run of its characters, also beside '.' and '@' (parts of a dotted
+#: token), and the password of user:password@host with whatever marks it has.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LOGIN = re.compile(r"(?<=[A-Za-z0-9._%+-]:)[^\s:@/]{16,}+(?=@)")
 LEARNT = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 END = "$"
 
@@ -229,12 +231,19 @@ def learn(docs: DataFrame, credentials: int = 5000, others: int = 20000) -> Gram
     return fit(*sets)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what the grammar scores: passwords of logins first, then runs."""
+    return [m.span() for m in LOGIN.finditer(text)] + [m.span() for m in CANDIDATE.finditer(text)]
+
+
 def find(text: str, grammar: Grammar | None) -> list[tuple[int, int, int]]:
     """All spans of a text: those of the base rules, and candidates beside them that the grammar takes for credentials."""
     spans = base_spans(text)
     if grammar is not None:
-        more = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans) and grammar.ratio(m[0]) > grammar.limit]
-        spans = sorted(spans + more) if more else spans
+        for start, end in candidates(text):
+            if not any(s < end and start < e for s, _, e in spans) and grammar.ratio(text[start:end]) > grammar.limit:
+                spans.append((start, 3, end))
+        spans.sort()
     return spans
 
 

@@ -248,6 +248,21 @@ def test_grammar_inference():
     assert secrets.fit(set(), {"abcdefghij"}) is None
 
 
+def test_credentials_beside_dots_and_at_signs():
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("0123456789abcdefABCDEFghijKLMNrstXYZ") for _ in range(n))
+    word = lambda n: "".join(rng.choice(["an", "er", "th", "ing", "ou", "sh"]) for _ in range(n))
+    grammar = secrets.fit({key(24) for _ in range(300)}, {word(rng.randint(3, 9)) for _ in range(600)})
+    found = lambda t: [t[s:e] for s, k, e in secrets.find(t, grammar) if k == 3]
+    a, b, c = key(22), key(43), key(30)
+    assert found(f"postgres://admin:{a}@db.host/x") == [a]
+    assert found(f"see {c}.{a}.{b} and SG.{a}.{b} here") == [c, a, b, a, b]
+    marked = f"{a[:12]}.{a[12:]}"
+    assert found(f"amqp://u:{marked}@host") == [marked]
+    for _ in range(100):
+        assert found(f"{word(8)}@{word(9)}.{word(8)}.org, {word(4)}.{word(9)}@{word(10)}.com") == []
+
+
 def test_rare_credentials_are_learnt(spark):
     rng = random.Random(5)
     key = lambda: "".join(rng.choice("0123456789abcdefABCDEFghijKLMN") for _ in range(24))

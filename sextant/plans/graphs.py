@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.operators import graph, metrics
+from sextant.operators import composites, graph, metrics
 from sextant.plans.registry import registry
 from sextant.sources import tables
 from sextant.sources.tables import table
@@ -95,11 +95,19 @@ def tectonic_edges(spark, sf):
     return graph.fuse_edges(none, none, temporal).join(least, ["a", "b"], "left_semi")
 
 
+def fused(spark, sf):
+    """a, b, weight of parts: next to each other in orders (structural), in deliveries of a supplier's day (behavioural), in the same orders (temporal)."""
+    steps = tables.part_steps(spark, sf).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    shared = composites.shared_names(tables.deliveries(spark, sf))
+    together = graph.co_changes(tables.commit_files(spark, sf))
+    return graph.fuse_edges(graph.share_of_max(graph.cut(steps), "n"), graph.share_of_max(graph.cut(shared), "shared"), graph.share_of_max(graph.cut(together), "together"))
+
+
 @query()
 def communities(spark, sf):
-    e = graph.share_of_max(graph.co_changes(tables.commit_files(spark, sf)).where("together >= 2"), "together").withColumnRenamed("share", "weight")
+    e = graph.cut(fused(spark, sf))
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    return graph.plates(graph.label_propagation(nodes, e, 10), e)
+    return graph.plates(graph.label_propagation(nodes, e), e)
 
 
 @query(f"""with recursive p as materialized (select a, b from {COCHANGE} where together >= 2), u as (select a x, b y from p union select b, a from p), r as (select x as node, x as label from u union select u.y, r.label from r join u on u.x = r.node)

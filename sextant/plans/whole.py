@@ -1,4 +1,4 @@
-"""Graph queries over the whole of lineitem: parts as modules, the part on the next line of an order as what it imports."""
+"""Queries that do the whole job where one of the same name does less: graphs over the whole of lineitem, parts as modules, the part on the next line of an order as what it imports."""
 
 from __future__ import annotations
 
@@ -107,3 +107,12 @@ def whole_impact_paths(spark, sf):
 @query(_sql("callers"))
 def whole_callers(spark, sf):
     return graph.bfs(graph.invert(tables.part_steps(spark, sf)), _start(spark, 3), 2)
+
+
+@query(f"""with t as (select * from {graphs.COCHANGE}), s as (select least(src, dst) a, greatest(src, dst) b, count(*) n from {STEPS} group by all),
+d as (select distinct l_partkey as file, l_suppkey || ' ' || l_shipdate::date as name from lineitem), f as (select name from d group by name having count(*) <= 30),
+k as (select x.file a, y.file b, count(*) n from d x join d y on x.name = y.name and x.file < y.file where x.name in (select name from f) group by all),
+u as (select a, b, 0.4 * (n / (select max(n) from s)) part from s union all select a, b, 0.3 * (n / (select max(n) from k)) from k union all select a, b, 0.3 * (together / (select max(together) from t)) from t)
+select a, b, round(sum(part), 6) weight from u group by a, b having round(sum(part), 6) > 0.01""")
+def whole_tectonic_edges(spark, sf):
+    return graphs.fused(spark, sf)

@@ -46,6 +46,12 @@ def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.where("src <> dst").distinct()
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and the deliveries they came in, a supplier's lines of one day: file, name."""
+    name = F.struct("l_suppkey", F.to_date("l_shipdate").alias("day"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), name.alias("name"))
+
+
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
 

@@ -46,3 +46,27 @@ def test_strong_components(spark):
     got = [(r.node, r.scc) for r in graph.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()]
     assert len(got) == len(set(got)) and set(got) == components(edges) and len({s for _, s in got}) > 1
     assert graph.strong_components(spark.createDataFrame([(1, 2)], "src long, dst long")).collect() == []
+
+
+def test_communities_are_of_fused_edges(spark):
+    weights = {(r.a, r.b): r.weight for r in QUERIES["whole_tectonic_edges"](spark, SF).collect()}
+    assert {tuple(sorted(e)) for e in steps()} <= set(weights)  # 0.4 or 0.2 each, none is light
+    near = {}
+    for (a, b), w in weights.items():
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {v: v for v in near}
+    for _ in range(50):
+        new = {}
+        for v in near:
+            votes = {}
+            for u, w in near[v]:
+                votes[label[u]] = votes.get(label[u], 0) + w
+            new[v] = min(votes, key=lambda x: (-round(votes[x], 6), x))
+        label, done = new, new == label
+        if done:
+            break
+    sizes = {}
+    for x in label.values():
+        sizes[x] = sizes.get(x, 0) + 1
+    assert {r.label: r["size"] for r in QUERIES["communities"](spark, SF).collect()} == sizes

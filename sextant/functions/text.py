@@ -143,7 +143,7 @@ def entropy(text: Column) -> Column:
 
 # What trace redaction takes out, and the mark it leaves.
 REDACTIONS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"), ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"), ("sql_literal", r"'(?:[^']|'')*'", "'?'"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"), ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"), ("sql_literal", r"'[^']*(?:''[^']*)*'", "'?'"),
     ("assignment", r"(?i)\b(password|passwd|secret|token|api_?key)(\s*[:=]\s*)[^\s,;]+", "$1$2<redacted>"), ("number", r"\b\d{6,}\b", "<num>")]
 
 

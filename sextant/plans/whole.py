@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sextant.functions import text
 from sextant.operators import composites, graph, metrics
 from sextant.plans import composites as composed
 from sextant.plans import graphs
@@ -116,3 +117,23 @@ u as (select a, b, 0.4 * (n / (select max(n) from s)) part from s union all sele
 select a, b, round(sum(part), 6) weight from u group by a, b having round(sum(part), 6) > 0.01""")
 def whole_tectonic_edges(spark, sf):
     return graphs.fused(spark, sf)
+
+
+@query("select p_brand, p_size, grouping_id(p_brand, p_size)::bigint g, count(*) n from part group by grouping sets ((p_brand), (p_size), (p_brand, p_size), ())")
+def whole_grouping_sets(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    return spark.sql("select p_brand, p_size, grouping_id(p_brand, p_size) g, count(*) n from __parts group by grouping sets ((p_brand), (p_size), (p_brand, p_size), ())")
+
+
+@query()
+def whole_redaction_counts(spark, sf):
+    d = table(spark, sf, "documents")
+    found = F.array(*[F.struct(F.lit(k).alias("label"), text.count(F.col("text"), p).alias("n")) for k, p, _ in text.REDACTIONS])
+    counted = d.select(F.explode(found).alias("x")).select("x.label", "x.n").where("n > 0")
+    return counted.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hits"))
+
+
+@query()
+def whole_redacted(spark, sf):
+    out, fired = text.redact(F.col("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(out.cast("binary")).alias("digest"), F.array_join(fired, ",").alias("labels"))

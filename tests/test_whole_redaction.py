@@ -1,0 +1,46 @@
+"""Redaction with all patterns and grouping of all parts, by brute force."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from sextant.functions import text
+from sextant.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
+# the SQL literals in the plain form; text.REDACTIONS has one that does not recurse a character
+PATTERNS = [(k, re.compile("'(?:[^']|'')*'" if k == "sql_literal" else p, re.ASCII), re.sub(r"\$(\d)", r"\\\1", mark)) for k, p, mark in text.REDACTIONS]
+HARD = ["a@b.org 10.0.0.1 x = 'it''s' token: abc;1234567", "'" + "q " * 25_000 + "' and 'open''s", "password=hunter2, secret = x", "'a''b", "' ' '", "", None]
+
+
+def redacted(t):
+    fired = []
+    for k, p, mark in PATTERNS:
+        if p.search(t):
+            fired.append(k)
+        t = p.sub(mark, t)
+    return t, fired
+
+
+def test_all_patterns(spark):
+    docs = dict(zip(*pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    want = {i: redacted(t) for i, t in docs.items()}
+    got = {r.id: (r.digest, r.labels) for r in QUERIES["whole_redacted"](spark, SF).collect()}
+    assert got == {i: (hashlib.md5(t.encode()).hexdigest(), ",".join(fired)) for i, (t, fired) in want.items()}
+    counts = Counter({k: (sum(1 for t in docs.values() if p.search(t)), sum(len(p.findall(t)) for t in docs.values())) for k, p, _ in PATTERNS})
+    assert {r.label: (r.docs, r.hits) for r in QUERIES["whole_redaction_counts"](spark, SF).collect()} == {k: v for k, v in counts.items() if v[1]}
+
+
+def test_hard_texts(spark):
+    out, fired = text.redact(F.col("t"))
+    for r in spark.createDataFrame([(t,) for t in HARD], "t string").select("t", out.alias("o"), fired.alias("f")).collect():
+        assert r.t is None and r.o is None or (r.o, r.f) == redacted(r.t)
+
+
+def test_all_parts_are_grouped(spark):
+    n = pq.read_table(f"{SF}/part.parquet").num_rows
+    rows = QUERIES["whole_grouping_sets"](spark, SF).collect()
+    assert {g: sum(r.n for r in rows if r.g == g) for g in range(4)} == dict.fromkeys(range(4), n)

@@ -117,12 +117,22 @@ def shared_names(names: DataFrame, most: int = 30) -> DataFrame:
     return pairs.groupBy(F.col("x.file").alias("a"), F.col("y.file").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def related(symbols: DataFrame, target: int, top: int = 20) -> DataFrame:
-    """id, score: 3 for the target's file, 0.5 for each word of the name it shares, best first."""
+def related(symbols: DataFrame, target: int, top: int = 20, importers: DataFrame | None = None) -> DataFrame:
+    """id, score: 3 for the target's file, else 1.5 for a file that shares an importer with it, 0.5 for each word of the name it shares, best first.
+
+    importers: (file, importer); without it the second signal is left out.
+    """
     t = symbols.where(F.col("id") == target).select(F.col("file").alias("tf"), F.split(F.lower("name"), " ").alias("tw"))
+    others = symbols.where(F.col("id") != target)
+    near = F.lit(None)
+    if importers is not None:
+        of_target = importers.join(F.broadcast(t.select(F.col("tf").alias("file"))), "file", "left_semi").select("importer").distinct()
+        files = importers.join(of_target, "importer", "left_semi").select("file").distinct()
+        others = others.join(files.withColumn("near", F.lit(1)), "file", "left")
+        near = F.col("near")
     shared = F.size(F.array_intersect(F.array_distinct(F.split(F.lower("name"), " ")), F.col("tw")))
-    score = F.round(F.when(F.col("file") == F.col("tf"), 3.0).otherwise(0.0) + 0.5 * shared, 2)
-    out = symbols.where(F.col("id") != target).crossJoin(F.broadcast(t)).select("id", score.alias("score"))
+    score = F.round(F.when(F.col("file") == F.col("tf"), 3.0).when(near.isNotNull(), 1.5).otherwise(0.0) + 0.5 * shared, 2)
+    out = others.crossJoin(F.broadcast(t)).select("id", score.alias("score"))
     return out.where("score > 0").orderBy(F.desc("score"), "id").limit(top)
 
 

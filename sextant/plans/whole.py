@@ -9,6 +9,7 @@ from sextant.operators import composites, graph, metrics
 from sextant.plans import composites as composed
 from sextant.plans import graphs
 from sextant.plans.registry import registry
+from sextant.plans.symbols import SYMBOLS
 from sextant.sources import tables
 from sextant.sources.tables import table
 
@@ -137,3 +138,13 @@ def whole_redaction_counts(spark, sf):
 def whole_redacted(spark, sf):
     out, fired = text.redact(F.col("text"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(out.cast("binary")).alias("digest"), F.array_join(fired, ",").alias("labels"))
+
+
+@query(f"""with t as (select file tf, string_split(lower(name), ' ') tw from {SYMBOLS} where id = 17), i as (select distinct p_brand as file, l_suppkey importer from lineitem join part on l_partkey = p_partkey),
+n as (select distinct file from i where importer in (select importer from i, t where file = tf)),
+s as (select id, round(case when file = tf then 3.0 when file in (select file from n) then 1.5 else 0 end + 0.5 * len(list_intersect(list_distinct(string_split(lower(name), ' ')), tw)), 2) score from {SYMBOLS}, t where id <> 17)
+select id, score from s where score > 0 order by score desc, id limit 20""")
+def whole_related_symbols(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file"))
+    importers = table(spark, sf, "lineitem").join(parts, "l_partkey").select("file", F.col("l_suppkey").alias("importer"))
+    return composites.related(tables.symbols(spark, sf), 17, importers=importers)

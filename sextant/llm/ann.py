@@ -172,8 +172,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
     """query_id, rank, vec_id, score: of each row that is_query marks, the k other rows of largest inner product found.
 
     vectors: (vec_id, embedding); other columns are ignored. Every row is kept
-    in its most probable part; a query goes to its most probable parts, is
-    scored there against every row, in blocks, and the blocks' best meet in a
+    in its most probable part; a query goes to its most probable parts, as
+    many more as it takes to hold k + 1 rows, is scored there against every row, in blocks, and the blocks' best meet in a
     last ranking. Parts of any size are split into blocks by a hash, so one
     vector that a third of the rows share is spread like any other.
 
@@ -192,19 +192,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
             at, x = matrix(batch.column(1), dim)
             if len(at):
                 kept = batch.take(pa.array(at))
-                order = router.route(x, router.probes).astype(np.int32)
+                order = router.route(x, parts).astype(np.int32)
+                asks = kept.column(2).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column(0), kept.column(3), kept.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(order[:, 0]), pa.array(list(order), pa.list_(pa.int32()))],
-                    ["vec_id", "row", "query", "vec", "part", "probes"])
+                    [kept.column(0), kept.column(3), kept.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(order[:, 0]), pa.array([o if q else None for o, q in zip(order, asks, strict=True)], pa.list_(pa.int32()))],
+                    ["vec_id", "row", "query", "vec", "part", "route"])
 
-    placed = save(rows.mapInArrow(lean(place), "vec_id long, row long, query boolean, vec binary, part int, probes array<int>"))
+    placed = save(rows.mapInArrow(lean(place), "vec_id long, row long, query boolean, vec binary, part int, route array<int>"))
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as parts
     asked = placed.where("query").count()
     blocks = F.array(*[F.lit(-(-counts.get(p, 0) // block)) for p in range(parts)])
+    sizes = F.array(*[F.lit(counts.get(p, 0)).cast("long") for p in range(parts)])
+    before = lambda i: F.aggregate(F.slice("route", 1, i), F.lit(0).cast("long"), lambda n, p: n + F.get(sizes, p))
+    probes = F.filter("route", lambda p, i: (i < router.probes) | (before(i) <= k))
     q_blocks = max(1, -(-asked // block))
     share = lambda c, salt, n: F.pmod(F.xxhash64(F.lit(salt), c), n).cast("int")
     base = placed.select("vec_id", "row", "vec", "part", share("row", 1, F.get(blocks, F.col("part"))).alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("turn"))
-    queries = placed.where("query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("qrow"), F.col("vec").alias("qvec"), F.explode("probes").alias("qpart"))
+    queries = placed.where("query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("qrow"), F.col("vec").alias("qvec"), F.explode(probes).alias("qpart"))
     queries = queries.where(F.get(blocks, F.col("qpart")) > 0).withColumn("qturn", share("qrow", 2, F.lit(q_blocks)))
     queries = queries.withColumn("qsub", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("qpart")) - 1)))
 

@@ -335,6 +335,15 @@ def test_nearest(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_short_parts_are_filled_up(spark):
+    x = np.random.default_rng(4).normal(size=(160, 8))
+    router = ann.fit_router(x, parts=16, recall=0.0)
+    router.probes = 1
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(160)], "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(df, F.col("vec_id") % 10 == 0, k=20, router=router).collect())
+    assert got == dict.fromkeys(range(0, 160, 10), 20)
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(800, 6))

@@ -64,6 +64,13 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df itself if it only scans, filters and projects, so that rows have the same place each time it runs; otherwise df written down."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    names = {line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    return df if names <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range"} else save(df)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, a small saved table, has at most so many rows."""
     return df.limit(rows + 1).count() <= rows
@@ -74,6 +81,13 @@ def narrow(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return df.coalesce(1) if fits_broadcast(df, rows) else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on, unless the session has another setting than Spark's default: they hold whole texts, in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """df joined with a saved table of one row a key: broadcast if its counted rows fit, else by skew_join."""
     if fits_broadcast(small):
@@ -93,18 +107,32 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return left.join(right, [h, *on], how).drop(h)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
+def has_odd_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether an id is null or repeated."""
+    return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+
+
 def unique_ids(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(uid, doc_id, text): uid orders rows by doc_id.
 
     uid is doc_id itself while it is neither null nor repeated. Otherwise rows
-    are numbered in the order of doc_id (null last), text: of rows that repeat
-    a doc_id, those with the smaller text come first, equal rows in any order.
+    are written down once and numbered in the order of doc_id (null last), then
+    of the text's digest (null first); equal rows in any order. Only ids and
+    digests are sorted, and numbers follow the order without being gapless.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
-    if odd.isEmpty():
+    if not has_odd_ids(docs):
         return docs.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    rows = docs.sort(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    schema = "doc_id long, text string, uid long"
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    return save(spark.createDataFrame(numbered, schema)).select("uid", "doc_id", "text")
+    rows = save(docs.withColumn("row", F.monotonically_increasing_id()))
+    keys = rows.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("digest").asc_nulls_first(), F.col("row").asc()]
+    numbered = save(keys.sort(*order).select("row", F.monotonically_increasing_id().alias("uid")))
+    return save(rows.join(numbered, "row").select("uid", "doc_id", "text"))

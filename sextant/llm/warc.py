@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import lean, save, scratch_dir, skew_join
+from sextant.llm.common import lean, save, scratch_dir, skew_join, small_batches, stable
 
 READ = 1 << 20
 GZIP, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
 #: An archive is closed when it has this many compressed bytes; so a reader's task is bounded too.
 ARCHIVE_BYTES = 64 << 20
 MANIFEST = "archive string, records long, bytes long"
-RECORDS = "archive string, offset long, length long, kind string, reason string, warc_type string, record_id string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+#: What every record must have, a header line of it and of no more than HEADER bytes in all.
+REQUIRED, HEADER = ("warc-type", "warc-record-id", "warc-date", "content-length"), 1 << 16
+RECORDS = "archive string, offset long, length long, inner_offset long, inner_length long, kind string, reason string, warc_type string, record_id string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
 def digest(payload: bytes) -> str:
@@ -75,40 +77,52 @@ class Window:
         return self.size
 
 
-def _member(win: Window, at: int, most: int) -> tuple[bytes, int]:
-    """The data of the gzip member at an offset, and its end. Raises ValueError: broken, cut off, or over most bytes."""
-    d, out, n, pos = zlib.decompressobj(31), [], 0, at
+def _member(win: Window, at: int, most: int) -> tuple[bytes, int, str]:
+    """Of the gzip member at an offset: its data or what can be had of it, the end of what was read, and why it broke, if it did (broken, cut off, or over most bytes)."""
+    d, out, n, pos, step = zlib.decompressobj(31), [], 0, at, 1 << 14
     while not d.eof:
-        chunk = win.get(pos, 1 << 16)
+        chunk = win.get(pos, step)
         if not chunk:
-            raise ValueError("member is cut off")
+            return b"".join(out), pos, "member is cut off"
+        before, got = d.copy(), []
         try:
-            data = d.decompress(chunk, most + 1 - n)
+            rest = chunk
+            while rest and not d.eof and n <= most:
+                got.append(d.decompress(rest, min(1 << 16, most + 1 - n)))
+                n += len(got[-1])
+                rest = d.unconsumed_tail
         except zlib.error as e:
-            raise ValueError(f"member: {e}") from e
-        out.append(data)
-        n += len(data)
+            if step == 1:
+                return b"".join(out), pos, f"member: {e}"
+            # what came before the break within the chunk is in no output: go on in smaller steps
+            d, step, n = before, step // 16 or 1, n - sum(map(len, got))
+            continue
+        out += got
+        pos += len(chunk)
         if n > most:
-            raise ValueError("member is too long")
-        pos += len(chunk) - len(d.unused_data) - len(d.unconsumed_tail)
-    return b"".join(out), pos
+            return b"".join(out), pos, "member is too long"
+    return b"".join(out), pos - len(d.unused_data), ""
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and whole length of the record that data begins with. Raises ValueError where a check fails."""
-    if not VERSION.match(data):
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record at an offset of data, and its end. Raises ValueError where a check fails."""
+    if not VERSION.match(data, at):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at, at + HEADER)
     if end < 0:
         raise ValueError("header has no end")
     headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not (length := headers.get("content-length", "")).isascii() or not length.isdigit():
+    if missing := [x for x in REQUIRED if not headers.get(x)]:
+        raise ValueError(f"header lacks {missing[0]}")
+    if not (length := headers["content-length"]).isascii() or not length.isdigit():
         raise ValueError("no content length")
+    if not re.match(r"\d{4}(-\d\d|$)", headers["warc-date"]):
+        raise ValueError("header has no date")
     start, stop = end + 4, end + 4 + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("record does not end where its length says")
@@ -118,6 +132,31 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
+def _inside(data: bytes, broken: str) -> Iterator[dict]:
+    """Records and gaps of a member's data, with offsets in it. Of a broken member's records only those that their own digest proves count."""
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        try:
+            headers, block, stop = parse(data, at)
+            if broken and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError(broken)
+            row = _fields(headers, block)
+        except ValueError as e:
+            if bad is None:
+                bad, why = at, str(e)
+            found = VERSION.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if bad is not None:
+            yield {"kind": "gap", "inner_offset": bad, "inner_length": at - bad, "reason": why}
+            bad = None
+        yield {"kind": "record", "inner_offset": at, "inner_length": stop - at} | row
+        at = stop
+    if bad is not None or broken:
+        bad = len(data) if bad is None else bad
+        yield {"kind": "gap", "inner_offset": bad, "inner_length": len(data) - bad, "reason": broken or why}
+
+
 def _fields(headers: dict[str, str], block: bytes) -> dict:
     head, _, body = block.partition(b"\r\n\r\n")
     kind = headers.get("warc-type", "")
@@ -133,40 +172,44 @@ def _fields(headers: dict[str, str], block: bytes) -> dict:
             "payload_digest": want or digest(payload), "refers_to": number("x-refers-to-page-id"), "payload": payload}
 
 
-def salvage(file, size: int, most: int = 1 << 30) -> Iterator[dict]:
+def salvage(file, size: int, most: int = 1 << 28) -> Iterator[dict]:
     """Records and gaps of an archive, by offset.
 
     At each offset a gzip member or a plain record is read and checked: CRC
-    and length of the member, version line, header lines, content length, end
-    mark, block and payload digests. If a check fails, the reader searches for
-    the next offset from which all checks hold (a gzip magic or a version
-    line), goes on there, and reports the bytes between as one gap with the
-    first reason. A member may hold several records; if one of them is broken,
-    the good ones before and after it are given, and a gap names the member.
-    Records of over most bytes count as broken.
+    and length of the member, version line, header lines and those a record
+    must have, content length, end mark, block and payload digests. If a check
+    fails, the reader searches for the next offset from which all checks hold
+    (a gzip magic or a version line), goes on there, and reports the bytes
+    between as one gap with the first reason.
+
+    A member may hold several records. If one of them is broken, the good ones
+    before and after it are given, and a gap's inner_offset and inner_length
+    name the bytes of the member's data between them. If the member itself is
+    broken or cut off, records before the break that their digests prove are
+    given, and one gap names the rest. What a member has beyond `most` bytes
+    counts as broken.
     """
-    win, at, gap, why = Window(file, size), 0, None, ""
+    win, at, gap, why, held = Window(file, size), 0, None, "", []
     start = re.compile(re.escape(GZIP) + rb"|" + VERSION.pattern)
+
+    def closed(to: int) -> Iterator[dict]:
+        if gap is not None:
+            yield from (x | {"offset": gap, "length": to - gap} for x in held or [{"kind": "gap", "reason": why}])
+
     while at < size:
         try:
             head = win.get(at, 10)
-            found = []
             if head.startswith(GZIP):
-                data, end = _member(win, at, most)
-                inner, bad = 0, ""
-                while inner < len(data):
-                    try:
-                        headers, block, n = parse(data[inner:] if inner else data)
-                        found.append(_fields(headers, block))
-                        inner += n
-                    except ValueError as e:
-                        bad = bad or str(e)
-                        m = VERSION.search(data, inner + 1)
-                        inner = m.start() if m else len(data)
-                if not found:
-                    raise ValueError(bad or "empty member")
-                if bad:
-                    found.append({"kind": "gap", "reason": bad})
+                data, end, broken = _member(win, at, most)
+                found = list(_inside(data, broken))
+                del data
+                if not any(x["kind"] == "record" for x in found):
+                    raise ValueError(broken or (found[0]["reason"] if found else "empty member"))
+                if broken:  # how far it reaches is known once the next good offset is
+                    yield from closed(at)
+                    gap, held = at, found
+                    at = win.find(start, at + 1)
+                    continue
             elif VERSION.match(head):
                 n = READ
                 while True:
@@ -176,13 +219,13 @@ def salvage(file, size: int, most: int = 1 << 30) -> Iterator[dict]:
                         break
                     except ValueError as e:
                         # a longer look helps only if the record may go on beyond it
-                        if n >= most or at + n >= size or "digest" in str(e) or "colon" in str(e) or "content length" in str(e):
+                        if n >= most or at + n >= size or "does not end" not in str(e):
                             raise
-                        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n", data)
+                        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n", data[:HEADER])
                         if m and m.start() + int(m[1]) + 8 < n // 2:
                             raise
                         n = min(most, max(4 * n, int(m[1]) + m.end() + 8192 if m else 0))
-                found, end = [_fields(headers, block)], at + used
+                found, end = [{"kind": "record"} | _fields(headers, block)], at + used
             else:
                 raise ValueError("no member and no version line")
         except ValueError as e:
@@ -190,14 +233,12 @@ def salvage(file, size: int, most: int = 1 << 30) -> Iterator[dict]:
                 gap, why = at, str(e)
             at = win.find(start, at + 1)
             continue
-        if gap is not None:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
-            gap = None
+        yield from closed(at)
+        gap, held = None, []
         for x in found:
-            yield {"kind": "record", "offset": at, "length": end - at} | x
+            yield x | {"offset": at, "length": end - at}
         at = end
-    if gap is not None:
-        yield {"kind": "gap", "offset": gap, "length": size - gap, "reason": why}
+    yield from closed(size)
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -253,8 +294,8 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
     """Every record and gap of the archives (column archive) that manifest lists; path names their file system.
 
     One archive is read by one task, a member at a time. kind is record or
-    gap; gaps carry archive, offset, length and reason. Payloads are given
-    only if asked for.
+    gap; gaps carry archive, offset, length and reason, and those within a
+    member inner_offset and inner_length. Payloads are given only if asked for.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +304,7 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
         store, _ = fs.FileSystem.from_uri(path)
         num = lambda k: (k, pa.int64())
         txt = lambda k: (k, pa.string())
-        schema = pa.schema([txt("archive"), num("offset"), num("length"), txt("kind"), txt("reason"), txt("warc_type"), txt("record_id"), num("page_id"), txt("target_uri"), num("payload_bytes"), txt("payload_digest"), num("refers_to"), ("payload", pa.binary())])
+        schema = pa.schema([txt("archive"), num("offset"), num("length"), num("inner_offset"), num("inner_length"), txt("kind"), txt("reason"), txt("warc_type"), txt("record_id"), num("page_id"), txt("target_uri"), num("payload_bytes"), txt("payload_digest"), num("refers_to"), ("payload", pa.binary())])
 
         def rows() -> Iterator[dict]:
             for batch in batches:
@@ -290,6 +331,8 @@ def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0) ->
     Only digests are grouped; payloads move once, to meet what was decided.
     """
     path = path or scratch_dir(pages.sparkSession)
+    small_batches(pages.sparkSession)
+    pages = stable(pages)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
     known = rows.select(F.sha2("payload", 256).alias("key"), F.length("payload").alias("n"), F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row").alias("who")).where(F.col("n") >= least)
@@ -300,6 +343,12 @@ def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0) ->
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """archive_pages, then what the salvage reader finds: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """archive_pages, then what the salvage reader finds: page_id, payload_bytes, payload_digest, record_type, refers_to, archive_gaps.
+
+    archive_gaps is the number of quarantined gaps in all archives, equal in
+    every row: 0 unless the shared store damaged them.
+    """
     manifest, path = archive_pages(pages, least=least)
-    return read_archives(manifest, path).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+    found = save(read_archives(manifest, path).select("kind", "page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to"))
+    gaps = found.where("kind = 'gap'").count()
+    return found.where("kind = 'record'").drop("kind").withColumn("archive_gaps", F.lit(gaps).cast("long"))

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,6 +157,20 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).collect() == []
 
 
+def test_links_that_stars_miss(spark):
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared, rows = new(300), []
+    for i in range(0, 60, 2):
+        own = new(110)  # texts of a family share about 0.58, the two of a pair about 0.9
+        rows += [(i, " ".join(shared + own)), (i + 1, " ".join(shared + own[:-8] + new(8)))]
+    rows += [(90, " ".join(shared)), (91, " ".join(shared + new(40))), (92, " ".join(new(3))), (93, "w w w w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # few bands of one bin: all of the family are in one bucket, whose hub most pairs aren't linked with
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, bands=2, band_rows=1).collect()}
+    assert got == {i: i - i % 2 if i < 60 else 90 if i == 91 else i for i, _ in rows}
+
+
 def test_densification_keeps_similarity():
     rng = np.random.default_rng(0)
     sign, agree = minhash.Signer(bands=128, rows=1), []
@@ -377,10 +392,31 @@ def test_salvage():
     mixed = b"".join([records[0], records[1][:100], records[2], gz(records[3]), records[4]])
     assert ids(read(mixed)) == [0, 2, 3, 4] and gaps(read(mixed)) == [(len(records[0]), 100)]
     joined = read(gz(records[0] + b"bad bytes" + records[1]))
-    assert ids(joined) == [0, 1] and sum(x["kind"] == "gap" for x in joined) == 1
+    inner = lambda found: [(x["inner_offset"], x["inner_length"]) for x in found if x["kind"] == "gap"]
+    assert ids(joined) == [0, 1] and inner(joined) == [(len(records[0]), 9)]
+    noise = lambda n: random.Random(n).randbytes(4000)
+    six = [warc.record(i, f"http://x/{i}", noise(i), None, False) for i in range(6)]
+    member = gz(b"".join(six))
+    cut = read(member[:-6000] + members[0])
+    assert ids(cut) == [0, 1, 2, 3, 0] and inner(cut)[0][0] == 4 * len(six[0]) and gaps(cut) == [(0, len(member) - 6000)]
+    late = bytearray(member)
+    late[-5000] ^= 1
+    assert ids(read(bytes(late))) == [0, 1, 2, 3, 5] and inner(read(bytes(late)))[0] == (4 * len(six[0]), len(six[0]))
+    for line in (b"WARC-Type: response\r\n", b"WARC-Date: 2000-01-01T00:00:00Z\r\n"):
+        assert ids(read(b"".join([members[0], gz(records[1].replace(line, b"")), members[2]]))) == [0, 2]
     assert read(b"") == [] and gaps(read(b"nothing")) == [(0, 7)]
 
 
+def test_salvage_is_linear():
+    def seconds(n):
+        data = gz(b"".join(warc.record(i, f"http://x/{i}", b"<p>text</p>" * 20, None, False) for i in range(n)))
+        began = time.process_time()
+        assert sum(x["kind"] == "record" for x in warc.salvage(io.BytesIO(data), len(data))) == n
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * max(seconds(5_000), 0.05)
+
+
 def test_warc_round_trip(spark):
     pages = [(5, "http://a", "same"), (2, "http://b c\r\nd", "same"), (9, None, "same"), (1, "u", None), (4, "u", ""), (7, "é", "é" * 300_000), (None, "n", "alone"), (None, "n", "same"), (3, "x", "dup"), (3, "x", "dup")]
     df = spark.createDataFrame([(*p, 1, "z") for p in pages], "page_id long, url string, html string, row int, key string")

@@ -11,18 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.functions.text import let
-from sextant.llm.common import lean, narrow, save, skew_join, unique_ids
+from sextant.llm.common import free_name, has_odd_ids, lean, save, skew_join, small_batches, unique_ids
 from sextant.llm.graphs import components
 
 SHINGLE = 5
-#: Bands of ROWS bins each. A pair of similarity 0.75 meets in fewer than SHARED bands with a probability of 5e-6,
-#: one of 0.25 in that many with one of 0.01.
-BANDS, ROWS, SHARED = 40, 4, 2
-#: Hubs that a bucket gets in the second round, and how many times more in each round after that.
-HUBS, MORE = 1, 8
-#: Classes of a bucket that meet a hub as one array, about.
-CHUNK = 512
+#: Bands of ROWS bins each. A pair of similarity 0.75 meets in no band with a probability of 2.5e-7.
+BANDS, ROWS = 40, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,8 +87,8 @@ class Signer:
 SIGNED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle, sign = Shingler(), Signer()
+def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    shingle, sign = Shingler(), Signer(bands, rows)
     for batch in batches:
         n, key, buckets = [], [], []
         for text in batch.column(2).to_pylist():
@@ -123,78 +117,96 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of each set: (uid, n, label, token)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
+            size = [len(x) for x in sets]
+            cols = [pa.array(np.repeat(part.column(i).to_numpy(), size)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sets))], ["uid", "n", "label", "token"])
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): candidates of different labels among sets (uid, n, label, set), a superset of all pairs of similarity 0.75 or more.
+
+    An exact prefix filter. Hashes stand in one order for all sets: first
+    those that only sets of one label hold, then the rarer ones first. Of two
+    sets that similar, the one that is not the larger has a shared hash among
+    its first n - ceil(6n/7) + 1, the other among its first n - ceil(3n/4) + 1,
+    and enough may follow the first shared one. Texts that share passages but
+    are not similar differ in the rare hashes that come first, so a family of
+    them makes hardly a candidate, however large it is. Hashes of one label
+    are only counted, never joined.
+    """
+    rows = sets.select("uid", "n", "label", "set").mapInArrow(lean(_tokens), "uid long, n long, label long, token long")
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "df")
+    met = skew_join(rows, held, ["token"])
+    listed = met.groupBy("uid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    # what only one label holds comes before, so the first of t has the place n - size(t)
+    listed = listed.withColumn("skip", F.col("n") - F.size("t")).withColumn("probe", F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
+    first = F.slice("t", 1, F.greatest(F.lit(0), F.col("probe") - F.col("skip")).cast("int"))
+    prefix = save(listed.where("skip < probe").select("uid", "n", "label", "skip", F.posexplode(first).alias("i", "x")).select("uid", "n", "label", (F.col("skip") + F.col("i")).alias("pos"), F.col("x.token").alias("token")))
+    side = lambda mark: prefix.select(*[F.col(c).alias(c + mark) for c in ("uid", "n", "label", "pos")], "token")
+    # the smaller set (of equal ones, that with the smaller uid) needs a shared hash in its shorter prefix
+    low = side("a").where("posa < na - ceil(na * 6 / 7) + 1").withColumn("h", F.xxhash64(F.lit(23), "token"))
+    high = side("b").withColumn("h", F.xxhash64(F.lit(23), "token"))
+    on = [low.h == high.h, low.token == high.token, F.col("labela") != F.col("labelb"), F.struct("na", "uida") < F.struct("nb", "uidb"), F.expr("100 * na >= 75 * nb"), F.expr("175 * least(na - posa, nb - posb) >= 75 * (na + nb)")]
+    return low.join(high, on).select(F.least("uida", "uidb").alias("a"), F.greatest("uida", "uidb").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, first of docs (doc_id, text); other columns are ignored.
 
     Documents with equal sets form a class; its first document (smallest
     doc_id) stands for it. Classes meet in the buckets of their bands. In each
     bucket every class gets an edge to the smallest one only, and edges are
-    confirmed on full sets. Buckets that still hold several components then
-    give, round by round, stars from more hubs outside their largest component
-    to the classes of other components that share two bands with them, until
-    no such pair is left that is neither tested nor connected: so no link is
-    lost to the star shape. A
-    round has a bounded number of hubs a bucket, so of edges a row; as links
-    join most components in the first rounds, later ones may have more.
-
-    A document without words has an empty set, is linked with nothing and
-    kept. Rows that repeat a doc_id are documents of their own, the one with
-    the smaller text first; `first` marks one row of each component. An empty
-    table gives no rows.
+    confirmed on full sets. A star can miss a link of two classes that both
+    differ from the hub; it would join two components of a bucket. So classes
+    of buckets that still hold several components go through an exact prefix
+    filter (prefix_pairs), and what it leaves is confirmed on full sets too:
+    no link of two classes that share a band is lost, and a family without
+    links is not paired off.
+
+    Sets are of 64-bit hashes of shingles, and sets are equal if a 128-bit
+    digest of them is. A document without words has an empty set, is linked
+    with nothing and kept. Rows that repeat a doc_id are documents of their
+    own, ordered as unique_ids says; `first` marks one row of each component.
+    An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = unique_ids(docs, docs.sparkSession)
-    signed = save(rows.select("uid", "doc_id", "text").mapInArrow(lean(_sign), SIGNED))
+    signed = save(rows.select("uid", "doc_id", "text").mapInArrow(lean(lambda x: _sign(x, bands, band_rows)), SIGNED))
     classes = signed.where("key is not null").groupBy("key").agg(F.min("uid").alias("rep"))
     member = save(skew_join(signed.where("key is not null").select("uid", "key"), classes, ["key"]).select("uid", "rep"))
     reps = signed.join(member.where("uid = rep").select("uid"), "uid", "left_semi")
     rowed = reps.select("uid", "n", F.explode("buckets").alias("bucket"))
-    shared = save(rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("hub")).where("m > 1"))
+    shared = rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("uid").alias("hub")).where("m > 1")
     buckets = save(skew_join(rowed, shared.select("bucket", "hub"), ["bucket"]))
-    sizes = buckets.select("uid", "n").distinct()
-    wanted = sizes.select("uid")
+    wanted = buckets.select("uid").distinct()
     sets = save(rows.select("uid", "text").join(wanted.hint("shuffle_hash"), "uid", "left_semi").mapInArrow(lean(_sets), "uid long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = pairs.select("a", "b").distinct()
-        one = skew_join(near, sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), ["a"])
+        one = skew_join(pairs, sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), ["a"])
         two = skew_join(one, sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), ["b"])
         return save(two.select("a", "b", "x", "y").mapInArrow(lean(_confirm), "a long, b long"))
 
     hubs = buckets.where("uid = hub").select("bucket", F.col("uid").alias("a"), F.col("n").alias("na"))
     stars = skew_join(buckets.where("uid <> hub").select("bucket", F.col("uid").alias("b"), F.col("n").alias("nb")), hubs, ["bucket"])
-    edges = confirmed(stars.where("100 * least(na, nb) >= 75 * greatest(na, nb)"))
+    edges = confirmed(stars.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b").distinct())
     labels = components(edges)
-    # a hub is one in all its buckets, and a bucket that holds two components is open: so a list names a class once a shared band
-    often = lambda bs: F.array_distinct(F.filter(bs, lambda x, i: x == F.get(bs, i - (SHARED - 1))))
-    chunks = -(-(shared.agg(F.max("m")).first()[0] or 1) // CHUNK)
-    open_, used, slots = buckets.select("bucket", "uid", "n"), None, HUBS
-    while True:
-        join = skew_join if open_.rdd.getNumPartitions() > 1 else lambda x, y, on: x.join(y, on)
-        named = open_.select("bucket", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        per = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        largest = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top")).where("parts > 1").select("bucket", F.col("top.label").alias("top"))
-        open_ = narrow(save(join(named, largest, ["bucket"])))
-        join = skew_join if open_.rdd.getNumPartitions() > 1 else lambda x, y, on: x.join(y, on)
-        # hubs: classes beside the largest component that were none yet, one a bucket and slot; each is one in all its buckets
-        free = open_.where("label <> top") if used is None else open_.where("label <> top").join(used, "uid", "left_anti")
-        hubs = save(free.groupBy("bucket", F.pmod(F.xxhash64("uid"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("uid", "n", "label")).alias("h")).select(F.col("h.uid").alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")).distinct())
-        if open_.rdd.getNumPartitions() == 1:
-            hubs = hubs.coalesce(1)
-        if hubs.isEmpty():
-            break
-        slots *= MORE
-        placed = open_.select("bucket", F.col("uid").alias("a")).join(hubs, "a")
-        # a bucket's classes in chunks: a hub meets arrays, and what several buckets say of it is made one before pairs are rows
-        listed = open_.groupBy("bucket", F.pmod(F.xxhash64(F.lit(8), "uid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(F.col("uid").alias("b"), F.col("n").alias("nb"), "label")).alias("m"))
-        met = join(placed, listed, ["bucket"])
-        other = F.transform(F.filter("m", lambda x: (x["label"] != F.col("la")) & (100 * F.least(x["nb"], F.col("na")) >= 75 * F.greatest(x["nb"], F.col("na")))), lambda x: x["b"])
-        pairs = met.select("a", "chunk", other.alias("bs")).where(F.size("bs") > 0).groupBy("a", "chunk").agg(let(F.sort_array(F.flatten(F.collect_list("bs"))), often).alias("bs")).select("a", F.explode("bs").alias("b"))
-        new = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            labels = components(edges)
-        now = hubs.select(F.col("a").alias("uid"))
-        used = narrow(save(now if used is None else used.unionByName(now)))
+    named = buckets.select("bucket", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    open_ = skew_join(named, several, ["bucket"]).select("uid", "n", "label").distinct()
+    more = confirmed(prefix_pairs(save(open_.join(sets, "uid"))))
+    if not more.isEmpty():
+        # a component is one node now
+        known = labels.withColumnRenamed("label", "rep")
+        at = lambda df, c: df.join(known.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+        joined = components(at(at(more, "a"), "b")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = save(labels.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+                      .unionByName(joined.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels.select("node"), "node", "left_anti")))
     final = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.coalesce("label", "rep").alias("label"))
     out = signed.select("uid", "doc_id", "n").join(final, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     names = signed.select(F.col("uid").alias("label"), F.col("doc_id").alias("component_id"))
@@ -205,17 +217,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """docs without the rows that near_duplicates doesn't keep: one row of each component stays, with all its columns.
 
-    Rows that repeat doc_id and text are one component; which of them stays
-    cannot be told from the others by these columns.
+    Where a doc_id is null or repeated, rows are told apart by a number that is
+    written down first, in a column whose name docs doesn't have.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    odd = _odd_ids(docs)
-    key = "__row" if odd else "doc_id"
-    found = near_duplicates(numbered.select(F.col(key).alias("doc_id"), "text"))
-    gone = save(found.where(~F.col("first")).select(F.col("doc_id").alias(key)))
-    return numbered.join(gone, key, "left_anti").drop("__row")
-
-
-def _odd_ids(docs: DataFrame) -> bool:
-    """Whether a doc_id is null or repeated."""
-    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    key = "doc_id"
+    if has_odd_ids(docs):
+        key = free_name(docs, "row")
+        docs = save(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
+    gone = found.where(~F.col("first")).select(F.col("doc_id").alias(key))
+    out = docs.join(gone, key, "left_anti")
+    return out if key == "doc_id" else out.drop(key)

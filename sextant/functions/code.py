@@ -225,6 +225,14 @@ def strip_jinja(sql: str) -> str:
     return re.sub(r"\{%.*?%\}", "", re.sub(r"\{\{.*?\}\}", "__jinja__", sql, flags=re.DOTALL), flags=re.DOTALL)
 
 
+def dbt_directives(sql: str) -> list[tuple[str, str]]:
+    """(kind, name) of what a templated model refers to: ref, source (schema.table) and macro calls, each once."""
+    out = [("ref", m[1]) for m in re.finditer(r"""\bref\(\s*(?:['"][^'"]+['"]\s*,\s*)?['"]([^'"]+)['"]\s*\)""", sql)]
+    out += [("source", f"{m[1]}.{m[2]}") for m in re.finditer(r"""\bsource\(\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]+)['"]\s*\)""", sql)]
+    out += [("macro", m[1]) for m in re.finditer(r"\{%-?\s*macro\s+(\w+)\s*\(", sql)]
+    return list(dict.fromkeys(out))
+
+
 PRESETS = ("empty_catch", "bare_except", "deeply_nested", "nested_loops", "todo_fixme", "eval_exec", "hardcoded_secret", "magic_number", "god_function", "reassigned_param")
 _NESTS = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.AsyncFor, ast.AsyncWith)
 _LOOPS = (ast.For, ast.While, ast.AsyncFor)

@@ -29,7 +29,7 @@ def _sections(path: str, content: str, heads: list[tuple[int, int, int, str]]) -
         raw = content[:at].encode()
         out.append({
             "id": ident, "doc_path": path, "title": title, "level": level, "parent_id": stack[-1][2] if stack else None, "content": text, "byte_start": len(raw), "byte_end": len(content[: nxt[0]].encode()),
-            "content_hash": hashlib.sha256(content[at : nxt[0]].encode()).hexdigest(), "code_blocks": [b for _, b in re.findall(r"(?ms)^```(\w*)\n(.*?)^```", text)], "tags": list(dict.fromkeys(re.findall(r"(?:^|[\s(])#([A-Za-z][\w-]*)", text)))})
+            "content_hash": hashlib.sha256(content[at : nxt[0]].encode()).hexdigest(), "code_blocks": [b for _, b in re.findall(r"(?ms)^```(\w*)\n(.*?)^```", text)], "tags": list(dict.fromkeys(re.findall(r"(?m)(?:^|\s)#([A-Za-z][A-Za-z0-9_-]*)", text)))})
         if level:
             stack.append((level, slug(title), ident))
     return out

@@ -9,40 +9,70 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import let
 
-# Phrases that tell what a task is about.
+# Phrases that tell what a task is about; of equal weights the first intent wins.
 INTENTS = {
-    "debug": ["fix", "bug", "error", "crash", "traceback", "failing", "broken"], "refactor": ["refactor", "rename", "extract", "clean up", "restructure", "move"], "extend": ["add", "implement", "support", "new feature", "extend"],
-    "review": ["review", "audit", "check", "assess"], "explore": ["how does", "explain", "understand", "where is", "what is"], "test": ["test", "coverage", "unit test", "assert"]}
+    "debug": ["debug", "bug", "broken", "fail", "error", "crash", "exception", "traceback", "stack trace", "why isn't", "why doesn't", "regression", "not working", "throws", "incorrect"],
+    "refactor": ["refactor", "rename", "move", "extract", "inline", "consolidate", "duplicate", "deduplicate", "clean up", "simplify", "split", "merge function", "decompose"],
+    "extend": ["add ", "new feature", "implement", "extend", "support for", "new endpoint", "new handler", "new route", "new method", "another impl", "additional"],
+    "audit": ["audit", "risk", "review risk", "review safety", "dead code", "unused", "untested", "coverage gap", "security", "tech debt", "code smell", "find similar"],
+    "explore": ["what does", "how does", "explore", "orient", "overview", "show me", "find", "where is", "where are", "tour", "explain", "structure", "architecture", "what is this"]}
+
+# How sure each verdict is; a null depends on the signals.
+DELETE_CONFIDENCE = {"safe_to_delete": None, "runtime_observed": 0.05, "cross_repo_blocking": 0.10, "entry_point": 0.20, "external_uses_blocking": 0.25, "internal_uses_blocking": 0.45, "test_coverage_only": 0.65}
+EDIT_CONFIDENCE = {"runtime_critical": 0.15, "signature_impact": 0.40, "complexity_risk": 0.45, "untested": 0.55, "safe_to_edit": None}
+COMPLEX_FROM = 11
+RISK_WEIGHTS = {"blast": 0.30, "complexity": 0.25, "churn": 0.15, "gap": 0.20, "volume": 0.10}
+RUNTIME_WEIGHT, RUNTIME_TOP = 0.15, 1_000_000
 
 
 def intents(tasks: DataFrame) -> DataFrame:
-    """id, intent, confidence of (id, task): the intent whose phrases weigh most, 1 + length / 30 each; explore if none is found."""
+    """id, intent, confidence of (id, task): the intent whose phrases weigh most, 1 + length / 30 each; explore with 0.5 if none is found."""
     low = F.lower("task")
-    phrases = [F.struct(F.lit(name).alias("intent"), F.lit(1 + len(p) / 30).alias("w"), low.contains(p).alias("hit")) for name, listed in INTENTS.items() for p in listed]
+    phrases = [F.struct(F.lit(i).alias("place"), F.lit(name).alias("intent"), F.lit(1 + len(p) / 30).alias("w"), low.contains(p).alias("hit")) for i, (name, listed) in enumerate(INTENTS.items()) for p in listed]
     hits = tasks.select("id", F.explode(F.array(*phrases)).alias("p")).select("id", "p.*").where("hit")
-    scored = hits.groupBy("id", "intent").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "intent", "n")).alias("b"))
-    conf = F.round(F.least(F.lit(0.95), 0.55 + 0.1 * F.col("b.n")), 4)
-    return tasks.select("id").join(best, "id", "left").select("id", F.coalesce("b.intent", F.lit("explore")).alias("intent"), F.coalesce(conf, F.lit(0.4)).alias("confidence"))
+    scored = hits.groupBy("id", "place", "intent").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "place", "intent", "n")).alias("b"))
+    conf = F.round(F.least(F.lit(0.95), 0.55 + 0.1 * F.col("b.n")), 2)
+    return tasks.select("id").join(best, "id", "left").select("id", F.coalesce("b.intent", F.lit("explore")).alias("intent"), F.coalesce(conf, F.lit(0.5)).alias("confidence"))
+
+
+def delete_verdict(runtime: Column, entry: Column, cross_repo: Column, external: Column, internal: Column, tests: Column, dead: Column) -> tuple[Column, Column]:
+    """The strongest reason against deleting a symbol, and how sure that is; counts in, and the confidence that the code is dead."""
+    verdict = (F.when(runtime > 0, "runtime_observed").when(entry, "entry_point").when(cross_repo > 0, "cross_repo_blocking").when(external > 0, "external_uses_blocking")
+               .when(internal > 0, "internal_uses_blocking").when(tests > 0, "test_coverage_only").otherwise("safe_to_delete"))
+    safe = F.greatest(F.lit(0.5), dead, F.when(dead < 0.9, 0.85).otherwise(0.95))
+    return verdict, _sure(verdict, DELETE_CONFIDENCE, safe)
 
 
-def delete_verdict(runtime: Column, entry: Column, external: Column, internal: Column, tests: Column) -> Column:
-    """The strongest reason against deleting a symbol; counts in, a word out."""
-    return (F.when(runtime > 0, "runtime_active").when(entry, "entry_point").when(external > 0, "cross_repo_used").when(internal > 0, "has_references").when(tests > 0, "test_only").otherwise("safe_to_delete"))
+def edit_verdict(runtime: Column, cross_repo: Column, external: Column, internal: Column, cyclomatic: Column, tested: Column) -> tuple[Column, Column]:
+    """What an edit of a symbol has to mind most, and how sure that is."""
+    verdict = (F.when(runtime > 0, "runtime_critical").when(external + cross_repo > 0, "signature_impact").when(cyclomatic >= COMPLEX_FROM, "complexity_risk")
+               .when((internal > 0) & ~tested, "untested").otherwise("safe_to_edit"))
+    return verdict, _sure(verdict, EDIT_CONFIDENCE, F.when(tested, 0.95).otherwise(0.90))
 
 
-def edit_verdict(runtime: Column, callers: Column, complexity: Column, tested: Column) -> Column:
-    return F.when(runtime >= 100, "runtime_critical").when(callers >= 10, "signature_impact").when(complexity > 15, "complex").when(~tested, "untested").otherwise("safe_to_edit")
+def _sure(verdict: Column, known: dict, otherwise: Column) -> Column:
+    return F.coalesce(*[F.when(verdict == k, F.lit(v)) for k, v in known.items() if v is not None], otherwise)
 
 
-def change_risk(changed: DataFrame) -> DataFrame:
-    """One row of (blast, cyclomatic, churn, tested) rows of changed symbols: parts, composite, level."""
-    log = lambda c, top: F.least(F.lit(1.0), F.log1p(c) / F.log1p(F.lit(float(top))))
-    m = changed.agg(F.coalesce(F.avg("blast"), F.lit(0.0)).alias("b"), F.coalesce(F.avg("cyclomatic"), F.lit(0.0)).alias("c"), F.coalesce(F.avg("churn"), F.lit(0.0)).alias("h"), F.coalesce(F.avg(F.when(F.col("tested"), 0.0).otherwise(1.0)), F.lit(0.0)).alias("gap"), F.count(F.lit(1)).alias("n"))
-    parts = {"blast": log(F.col("b"), 50), "complexity": 1 - F.exp(-F.col("c") / 15), "churn": log(F.col("h"), 50), "gap": F.col("gap"), "volume": log(F.col("n").cast("double"), 100)}
-    total = sum((F.lit(w) * parts[k] for k, w in (("blast", 0.30), ("complexity", 0.25), ("churn", 0.15), ("gap", 0.20), ("volume", 0.10))), F.lit(0.0))
+def change_risk(changed: DataFrame, files: DataFrame, runtime: bool = False) -> DataFrame:
+    """One row about changed symbols (cyclomatic, test, covered, hits) and all files (churn, changed, reached): the parts, their weighted sum and its level.
+
+    reached: the change may break the file. runtime: whether the repository
+    has any traces at all; then traffic has a weight of its own and the others
+    make room. Hits are null where a symbol has no trace.
+    """
+    up_to = lambda c, top: F.least(F.lit(1.0), F.log1p(c.cast("double")) / F.log1p(F.lit(float(top))))
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    m = changed.agg(
+        F.coalesce(F.max("cyclomatic"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("n"), part(F.avg(F.when(~F.col("test"), F.when(F.col("covered"), 0.0).otherwise(1.0)))).alias("gap"),
+        part(F.avg(F.log1p(F.col("hits").cast("double")) / F.log1p(F.lit(float(RUNTIME_TOP))))).alias("traffic"))
+    m = m.crossJoin(files.agg(part(F.avg(F.when(F.col("changed"), F.col("churn")))).alias("h"), part(F.avg(F.when(F.col("reached"), 1.0).otherwise(0.0))).alias("ratio")))  # one row each
+    parts = {"blast": F.least(F.lit(1.0), 1 - F.exp(-5 * F.col("ratio"))), "complexity": up_to(F.col("c"), 30), "churn": up_to(F.col("h"), 25), "gap": F.col("gap"), "volume": up_to(F.col("n"), 60)}
+    traffic = F.least(F.lit(1.0), F.col("traffic")) if runtime else F.lit(0.0)
+    total = F.lit(1 - RUNTIME_WEIGHT if runtime else 1.0) * sum((F.lit(w) * parts[k] for k, w in RISK_WEIGHTS.items()), F.lit(0.0)) + F.lit(RUNTIME_WEIGHT) * traffic
     risk = F.round(total, 4)
-    return m.select(*[F.round(c, 4).alias(k) for k, c in parts.items()], risk.alias("risk"), F.when(risk >= 0.75, "critical").when(risk >= 0.5, "high").when(risk >= 0.25, "medium").otherwise("low").alias("level"))
+    return m.select(*[F.round(c, 4).alias(k) for k, c in parts.items()], F.round(traffic, 4).alias("runtime"), risk.alias("risk"), F.when(risk <= 0.25, "low").when(risk <= 0.5, "medium").when(risk <= 0.75, "high").otherwise("critical").alias("level"))
 
 
 def docstring_summary(doc: Column) -> Column:

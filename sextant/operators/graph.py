@@ -46,18 +46,6 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> Da
     return reached
 
 
-def reachable_pairs(edges: DataFrame) -> DataFrame:
-    """(src, dst) closed under composition, by squaring: as many rounds as the logarithm of the longest path."""
-    pairs = cut(edges.select("src", "dst").distinct())
-    n = pairs.count()
-    while True:
-        step = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        pairs = cut(pairs.union(step).distinct())
-        if (m := pairs.count()) == n:
-            return pairs
-        n = m
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """node, rank: power iteration with the mass of nodes without edges spread evenly, until the L1 change is under the tolerance."""
     edges = edges.select("src", "dst").distinct()
@@ -81,14 +69,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return ranks.select("node", "rank")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """scc, members: strongly connected components of two nodes and more, named by their least node."""
-    pairs = reachable_pairs(edges)
-    mutual = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select("a.src", "a.dst")
-    least = mutual.groupBy("src").agg(F.min("dst").alias("scc"))
-    return least.groupBy("scc").agg(F.sort_array(F.collect_list("src")).alias("members")).where(F.size("members") > 1)
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, scc: members of strongly connected components of two nodes and more, named by their least node.
 

@@ -76,13 +76,13 @@ def radar(axes: dict[str, Column]) -> list[Column]:
 
 
 def confidence(top1: Column, top2: Column, identity: Column, stale: Column) -> Column:
-    """Weighted geometric mean of gap, strength, identity and freshness, rounded to 3 places."""
+    """Weighted geometric mean of gap, strength, identity (null: unknown) and freshness, rounded to 3 places; 0 without results (top1 null)."""
     floor = lambda c: F.greatest(c, F.lit(1e-6))
-    gap = F.when(top1 > 0, F.least(F.lit(1.0), (top1 - F.coalesce(top2, F.lit(0.0))) / top1)).otherwise(0.0)
-    strength = 1 - F.exp(-top1 / 4)
-    ident, fresh = F.when(identity, 1.0).otherwise(0.5), F.when(stale, 0.5).otherwise(1.0)
+    gap = F.when(top1 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (top1 - F.coalesce(top2, F.lit(0.0))) / top1))).otherwise(0.0)
+    strength = F.when(top1.isNotNull(), F.greatest(F.lit(0.0), 1 - F.exp(-top1 / 4)))
+    ident, fresh = F.when(identity, 1.0).when(identity.isNull(), 0.7).otherwise(0.6), F.when(stale, 0.6).otherwise(1.0)
     parts = ((0.35, gap), (0.35, strength), (0.15, ident), (0.15, fresh))
-    return F.round(F.exp(sum((F.lit(w) * F.log(floor(c)) for w, c in parts), F.lit(0.0))), 3)
+    return F.coalesce(F.round(F.exp(sum((F.lit(w) * F.log(floor(c)) for w, c in parts), F.lit(0.0))), 3), F.lit(0.0))
 
 
 def risk(blast: Column, complexity: Column, churned: Column, gap: Column, volume: Column) -> Column:
@@ -102,15 +102,33 @@ def tune_weight(events: DataFrame, flag: str, step: float = 0.05, threshold: flo
     return m.select(F.round("on", 6).alias("mean_on"), F.round("off", 6).alias("mean_off"), F.round(F.least(F.lit(high), F.greatest(F.lit(low), moved)), 6).alias("weight"))
 
 
-def regret(events: DataFrame) -> DataFrame:
-    """Per query_hash what went badly: requery_churn (5 times or more), and twice or more low_confidence, thin_result, ambiguous_top."""
-    n = lambda c: F.count(F.when(c, 1))
-    per = events.groupBy("query_hash").agg(
-        F.count(F.lit(1)).alias("n"), n((F.col("confidence") < 0.3) & (F.col("returned") > 0)).alias("low"),
-        n((F.col("returned") == 0) | ((F.col("returned") <= 1) & (F.coalesce("top1", F.lit(0.0)) < 0.10))).alias("thin"),
-        n((F.col("top1") - F.col("top2")) < 0.05).alias("ambiguous"))
-    kinds = [F.when(F.col("n") >= 5, "requery_churn"), F.when(F.col("low") >= 2, "low_confidence"), F.when(F.col("thin") >= 2, "thin_result"), F.when(F.col("ambiguous") >= 2, "ambiguous_top")]
-    return per.select("query_hash", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+# From where on a query's history is held against retrieval.
+CHURN, CHURN_HIGH, LOW, THIN, AMBIGUOUS, STALE, STALE_EVENTS, VOCABULARY, AGAIN = 5, 8, 0.30, 0.10, 0.05, 0.20, 5, 0.30, 2
+#: Events of one query from which a kind is severe; it is medium from AGAIN on.
+SEVERE = {"low_confidence": 6, "thin_result": 5, "ambiguous_top": 6, "vocabulary_gap": 6}
+CLUSTERS = 5
+
+
+def regret(events: DataFrame, clusters: int | None = CLUSTERS) -> DataFrame:
+    """query_hash, kind, n, severity: what went badly in ranking events (query_hash, confidence, returned, top1, top2, semantic_used, identity_hit, stale).
+
+    Of each kind the `clusters` queries with most such events (low confidence:
+    then the lower mean), ties by query_hash; None for all. stale_at_query is
+    about all events together and has a null query_hash.
+    """
+    when = {
+        "low_confidence": (F.col("confidence") < LOW) & (F.col("returned") > 0), "thin_result": (F.col("returned") == 0) | ((F.col("returned") <= 1) & (F.col("top1").isNull() | (F.col("top1") < THIN))),
+        "ambiguous_top": (F.col("top1") - F.col("top2")) < AMBIGUOUS, "vocabulary_gap": ~F.col("identity_hit") & F.col("semantic_used") & (F.col("confidence") >= VOCABULARY)}
+    per = events.groupBy("query_hash").agg(F.count(F.lit(1)).alias("requery_churn"), *[F.count(F.when(c, 1)).alias(k) for k, c in when.items()], F.coalesce(F.avg(F.when(when["low_confidence"], F.col("confidence"))), F.lit(0.0)).alias("mean"))
+    kinds = [F.struct(F.lit("requery_churn").alias("kind"), F.col("requery_churn").alias("n"), F.lit(CHURN).alias("least"), F.lit(CHURN_HIGH).alias("high"), F.lit(0.0).alias("mean"))]
+    kinds += [F.struct(F.lit(k).alias("kind"), F.col(k).alias("n"), F.lit(AGAIN).alias("least"), F.lit(SEVERE[k]).alias("high"), (F.round("mean", 3) if k == "low_confidence" else F.lit(0.0)).alias("mean")) for k in when]
+    found = per.select("query_hash", F.inline(F.array(*kinds))).where(F.col("n") >= F.col("least"))
+    if clusters is not None:
+        best = Window.partitionBy("kind").orderBy(F.desc("n"), "mean", "query_hash")
+        found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= clusters)
+    found = found.select("query_hash", "kind", "n", F.when(F.col("n") >= F.col("high"), "high").otherwise("medium").alias("severity"))
+    stale = events.agg(F.count(F.when(F.col("stale"), 1)).alias("n"), F.count(F.lit(1)).alias("m")).where((F.col("m") >= STALE_EVENTS) & (F.col("n") > STALE * F.col("m")))
+    return found.unionByName(stale.select(F.lit(None).cast(events.schema["query_hash"].dataType).alias("query_hash"), F.lit("stale_at_query").alias("kind"), "n", F.when(F.col("n") > 2 * STALE * F.col("m"), "high").otherwise("medium").alias("severity")))
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:

@@ -61,6 +61,23 @@ def api(files: DataFrame) -> DataFrame:
     return _each(files, lambda p, c: [x | {"path": p} for x in markup.openapi(c)], "path string, kind string, name string, summary string, refs array<string>")
 
 
+def directives(files: DataFrame) -> DataFrame:
+    """path, kind, name of templated SQL models' references."""
+    return _each(files, lambda p, c: [{"path": p, "kind": k, "name": n} for k, n in code.dbt_directives(c)] if p.endswith(".sql") else [], "path string, kind string, name string")
+
+
+def model_edges(found: DataFrame, files: DataFrame) -> DataFrame:
+    """src, dst: models that refer to others, by the stem of the file's name; none to itself."""
+    stem = F.regexp_extract("path", r"([^/]+)\.sql$", 1)
+    models = files.where("path like '%.sql'").select(F.col("path").alias("dst"), stem.alias("name"))
+    return found.where("kind = 'ref'").select(F.col("path").alias("src"), "name").join(models, "name").where("src <> dst").select("src", "dst").distinct()
+
+
+def plain_sql(files: DataFrame) -> DataFrame:
+    """path, sql: models with their templates made identifiers."""
+    return _each(files, lambda p, c: [{"path": p, "sql": code.strip_jinja(c)}] if p.endswith(".sql") else [], "path string, sql string")
+
+
 def edges(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """src, dst: each import resolved to the file that its best candidate path names; none of a file to itself."""
 

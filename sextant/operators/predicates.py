@@ -96,8 +96,10 @@ def find_symbol(symbols: DataFrame, wanted: str) -> DataFrame:
 
 # Commit categories, the first that matches wins.
 COMMIT_CATEGORIES = [
-    ("revert", r"\brevert"), ("bugfix", r"\b(fix|bug|hotfix|patch)"), ("security", r"\b(security|cve|vuln)"), ("performance", r"\b(perf|optimi[sz]e|speed)"),
-    ("refactor", r"\b(refactor|cleanup|rename|restructure)"), ("test", r"\btest"), ("docs", r"\b(docs?|readme|comment)"), ("feature", r"\b(feat|add|implement|introduce)"), ("dependency", r"\b(bump|upgrade|depend)")]
+    ("revert", r"^revert"), ("rename", r"\brename[ds]?\b|\bmove[ds]?\b"), ("bugfix", r"\bfix(?:e[ds])?\b|\bbug\b|\bpatch\b|\bhotfix\b|\bcorrect\b|\bresolve[ds]?\b"),
+    ("perf", r"\bperf(?:ormance)?\b|\boptimiz[e]?\b|\bspeed\b|\bfaster\b|\bcache\b"), ("refactor", r"\brefactor\b|\bclean\s*up\b|\brestructur\b|\bsimplif\b|\bextract\b|\bdecompos\b"),
+    ("test", r"\btest[s]?\b|\bspec[s]?\b|\bcoverage\b"), ("docs", r"\bdoc[s]?\b|\breadme\b|\bchangelog\b|\bcomment\b"),
+    ("config", r"\bconfig\b|\bci\b|\bdocker\b|\byaml\b|\benv\b|\bdeps?\b|\bbump\b|\bupgrade\b"), ("feature", r"\badd[s]?\b|\bfeat(?:ure)?\b|\bimplement\b|\bintroduc\b|\bnew\b|\bsupport\b|\benable\b")]
 
 
 def classify(text: Column, rules: Sequence[tuple[str, str]] = COMMIT_CATEGORIES, default: str = "evolution") -> Column:
@@ -106,8 +108,16 @@ def classify(text: Column, rules: Sequence[tuple[str, str]] = COMMIT_CATEGORIES,
 
 
 def is_test_path(path: Column) -> Column:
-    """A test by directory or file name."""
-    return path.rlike(r"(^|/)(tests?|__tests__|spec)/") | path.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.[^/]+|[^/]*\.(test|spec)\.[^/]+|conftest\.py)$")
+    """A test by directory or file name, as the health and dead-code operators have it."""
+    name = F.substring_index(path, "/", -1)
+    return path.contains("/tests/") | path.contains("/test/") | name.startswith("test_") | name.endswith("_test.py") | (name == "conftest.py")
+
+
+def is_test_path_of_change(path: Column) -> Column:
+    """A test as the change-risk operator has it: wider, in any case, also by the path's beginning."""
+    low = F.lower(F.regexp_replace(path, r"\\\\", "/"))
+    inside = [low.contains(x) for x in ("/test", "/__tests__/", "_test.", ".test.", ".spec.", "_spec.")]
+    return reduce(lambda a, b: a | b, inside, low.startswith("test") | F.substring_index(low, "/", -1).contains("test_"))
 
 
 def is_production_path(path: Column) -> Column:

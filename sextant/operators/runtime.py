@@ -34,6 +34,50 @@ def sql_tables(sql: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda n: F.lower(F.regexp_replace(F.element_at(F.split(n, r"\."), -1), r"[\"`\[\]]", ""))))
 
 
+# What a column looks like in SQL, where columns stand, and which words are none.
+SQL_NAME = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_]*)'
+SQL_QUALIFIED = rf"({SQL_NAME})\.({SQL_NAME})"
+SQL_BARE = rf'(?<![A-Za-z_."]){SQL_NAME}(?!\s*\()'
+SQL_SELECT_LIST = r"(?is)\bSELECT\b\s+(?:DISTINCT\s+)?(.+?)\s+\bFROM\b"
+SQL_PREDICATE = r"(?is)\b(?:WHERE|ON|HAVING|GROUP\s+BY|ORDER\s+BY)\b(.+?)(?=(?:\b(?:WHERE|ON|HAVING|GROUP\s+BY|ORDER\s+BY|UNION|INTERSECT|EXCEPT|LIMIT|OFFSET|RETURNING)\b|;|$))"
+SQL_KEYWORDS = (
+    "select from where and or not null true false as on in is by group order having limit offset union intersect except with case when then else end between like ilike exists any all some join left right inner outer full cross lateral "
+    "using natural distinct asc desc nulls first last into values insert update delete set returning create drop alter table view index primary key foreign references constraint default unique check cast extract interval current_date "
+    "current_time current_timestamp current_user session_user user now unknown merge matched").split()
+
+
+def sql_columns(sql: Column) -> Column:
+    """Distinct (table, column) pairs that a statement names: qualified ones with what stands before the dot, bare ones with an empty table.
+
+    Bare names count in the first select list and in predicates, there from two
+    letters on; functions and key words are none.
+    """
+    word = lambda x: F.trim(x, F.lit('"'))
+    column = lambda x: ~F.lower(x).isin(SQL_KEYWORDS)
+    pair = lambda t, c: F.struct(t.alias("table"), c.alias("column"))
+    qualified = F.zip_with(F.regexp_extract_all(sql, F.lit(SQL_QUALIFIED), F.lit(1)), F.regexp_extract_all(sql, F.lit(SQL_QUALIFIED), F.lit(2)), lambda t, c: pair(word(t), word(c)))
+    bare = lambda part: F.filter(F.transform(F.regexp_extract_all(F.regexp_replace(part, SQL_QUALIFIED, " "), F.lit(SQL_BARE), F.lit(0)), word), column)
+    listed = bare(F.regexp_extract(sql, SQL_SELECT_LIST, 1))
+    tested = F.flatten(F.transform(F.regexp_extract_all(sql, F.lit(SQL_PREDICATE), F.lit(1)), lambda body: F.filter(bare(body), lambda x: F.length(x) > 1)))
+    return F.array_distinct(F.concat(F.filter(qualified, lambda q: column(q["column"])), F.transform(F.concat(listed, tested), lambda x: pair(F.lit(""), x))))
+
+
+def column_models(columns: DataFrame, models: DataFrame) -> DataFrame:
+    """model, column, uses: columns (tables array, table, column) of statements joined with models' columns (model, column).
+
+    A qualified name means its table, a bare one any table of the statement.
+    """
+    meant = F.when(F.col("table") != "", F.array("table")).otherwise(F.col("tables"))
+    named = columns.select(F.explode(meant).alias("model"), "column")
+    return named.join(models, ["model", "column"]).groupBy("model", "column").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def table_symbols(statements: DataFrame, symbols: DataFrame) -> DataFrame:
+    """table, symbol_id, calls: tables that statements (tables array, calls) read, joined by name with symbols (symbol_id, name); tables without one are left out."""
+    used = statements.select(F.explode("tables").alias("table"), "calls").groupBy("table").agg(F.sum("calls").alias("calls"))
+    return used.join(symbols.select("symbol_id", F.lower("name").alias("table")), "table").select("table", "symbol_id", "calls")
+
+
 def sql_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """query, calls, mean_ms of a statement export; column names in any case and of any version."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
@@ -88,17 +132,42 @@ def stack_frames(logs: DataFrame) -> DataFrame:
     return logs.select("id", "text").mapInPandas(run, "id long, trace long, language string, file string, line long, function string")
 
 
+# Words for a severity, and those that tell it in a log.
+SEVERITIES = {"error": ["error", "fatal", "critical", "severe"], "warn": ["warn", "warning"]}
+LEVEL_WORD = r"(?i)\b(FATAL|CRITICAL|ERROR|WARN(?:ING)?|INFO|DEBUG|TRACE)\b"
+
+
+def severity(word: Column) -> Column:
+    low = F.lower(F.trim(word))
+    return F.when(low.isin(SEVERITIES["error"]), "error").when(low.isin(SEVERITIES["warn"]), "warn").otherwise("info")
+
+
+def stack_json(lines: DataFrame) -> DataFrame:
+    """id, severity, ts, message, text of JSON lines (id, value) that hold a stack under any of its names; blank lines, comments and lines without one are skipped."""
+    j = lambda *names: F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{n}"), F.lit("")) for n in names])
+    kept = lines.where(~F.trim("value").rlike("^($|#)"))
+    told = severity(F.regexp_extract(j("stack_trace", "stack", "exception").substr(1, 256), LEVEL_WORD, 1))
+    level = j("severity", "level", "loglevel")
+    return kept.select("id", F.when(level.isNotNull(), severity(level)).otherwise(told).alias("severity"), j("ts", "timestamp", "time").alias("ts"), j("message").alias("message"), j("stack_trace", "stack", "exception").alias("text")).where("trim(text) <> ''")
+
+
 def innermost(points: DataFrame, spans: DataFrame, by: str = "file", bucket: int = 64) -> DataFrame:
     """Each point (point_id, by, line) with the narrowest span (symbol_id, by, start, end) around it.
 
-    Lines are cut into buckets so that the range join is an equality join; a
-    null end is open and counts as the largest line.
+    Lines are cut into buckets so that the range join is an equality join. A
+    null end is open: such a span is wider than any closed one, and of open
+    ones the last that starts at or before the point is the narrowest, found by
+    a running maximum over points and spans of the same `by` in one sort.
     """
-    cells = F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))
-    closed = spans.withColumn("end", F.coalesce("end", F.col("start") + 1_000_000)).withColumn("cell", F.explode(cells))
+    closed = spans.where("end is not null").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
     joined = points.withColumn("cell", F.floor(F.col("line") / bucket)).join(closed, [by, "cell"]).where("line between start and end")
-    best = joined.groupBy("point_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "symbol_id")).alias("b"))
-    return best.select("point_id", F.col("b.symbol_id").alias("symbol_id"))
+    best = joined.groupBy("point_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "symbol_id")).alias("b")).select("point_id", F.col("b.symbol_id").alias("symbol_id"))
+    left = points.join(best, "point_id", "left_anti").select("point_id", by, F.col("line").cast("long").alias("at"), F.lit(1).alias("later"), F.lit(None).cast(spans.schema["symbol_id"].dataType).alias("symbol_id"))
+    open_ = spans.where("end is null").groupBy(by, F.col("start").cast("long").alias("at")).agg(F.min("symbol_id").alias("symbol_id"))
+    marks = open_.select(F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), by, "at", F.lit(0).alias("later"), "symbol_id")
+    before = Window.partitionBy(by).orderBy("at", "later").rowsBetween(Window.unboundedPreceding, 0)
+    last = marks.unionByName(left).withColumn("symbol_id", F.last("symbol_id", ignorenulls=True).over(before)).where("later = 1 and symbol_id is not null").select("point_id", "symbol_id")
+    return best.unionByName(last)
 
 
 def by_suffix(frames: DataFrame, files: DataFrame, most: int = 8) -> DataFrame:

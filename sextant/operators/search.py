@@ -31,9 +31,24 @@ def top(df: DataFrame, k: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def first_ranks(df: DataFrame, order: list[Column], depth: int | None = None) -> DataFrame:
+    """df with rank, from 1 in the given order, which must tell rows apart: the first `depth` rows, or all.
+
+    With a depth it is a top-k and a window over as many rows. Without, rows
+    are sorted by ranges and written down with their place in their range; a
+    range's first rank comes from the sizes of those before, a row a range.
+    """
+    if depth is not None:
+        return df.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    placed = cut(df.sort(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return placed.join(F.broadcast(before), "__p").withColumn("rank", (F.col("before") + F.col("__i") + 1).cast("int")).drop("__p", "__i", "before")
+
+
 def ranked(df: DataFrame, channel: str, score: str = "score") -> DataFrame:
     """channel, id, rank of (id, score), best first, ties by id."""
-    return df.select(F.lit(channel).alias("channel"), "id", F.row_number().over(Window.orderBy(F.desc(score), "id")).alias("rank"))
+    return first_ranks(df.select("id", score), [F.desc(score), F.col("id")]).select(F.lit(channel).alias("channel"), "id", "rank")
 
 
 def fuse(channels: DataFrame, weights: dict[str, float], smoothing: int = 60) -> DataFrame:

@@ -90,28 +90,31 @@ def quotability(spark, sf):
 
 @query("with r as (select case " + " ".join(f"when regexp_matches(trim(split_part(text, chr(10), 1)), '(?i){p.replace(chr(39), chr(39) * 2)}') then '{r}'" for r, p in text.HEADING_ROLES)
        + f" when {_n(text.QUESTION)} >= 3 and {_n(text.QUESTION)} / len(string_split(text, chr(10))) > 0.05 then 'faq' when {_n(text.NUMBERED)} >= 3 and {_n(text.FENCE)} // 2 >= 2 then 'tutorial'"
-       f" when {_n(text.IMPERATIVE)} >= 3 and {_n(text.IMPERATIVE)} / len(string_split(text, chr(10))) > 0.05 then 'how_to' when {_n(text.FENCE)} // 2 >= 1 and ({_n(text.FENCE)} // 2) / greatest(1.0, len(string_split(text, chr(10))) / 10) >= 1 then 'example' else 'concept' end role, doc_id from documents)"
+       f" when {_n(text.ROLE_IMPERATIVE)} >= 3 and {_n(text.ROLE_IMPERATIVE)} / len(string_split(text, chr(10))) > 0.05 then 'how_to' when {_n(text.FENCE)} // 2 >= 1 and ({_n(text.FENCE)} // 2) / greatest(1.0, len(string_split(text, chr(10))) / 10) >= 1 then 'example' else 'concept' end role, doc_id from documents)"
        " select role, count(*) n, min(doc_id) sample from r group by role")
 def section_roles(spark, sf):
     s = tables.sections(spark, sf).withColumn("role", text.role(F.col("title"), F.col("content")))
     return s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("sample"))
 
 
-@query("""select label, count(*) docs, sum(n)::bigint hits from (select 'email' as label, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) n from documents union all select 'ipv4', len(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b')) from documents
-union all select 'number', len(regexp_extract_all(text, '\\b\\d{6,}\\b')) from documents) where n > 0 group by label""")
+@query()
 def redaction_counts(spark, sf):
-    d = table(spark, sf, "documents")
-    kinds = [(k, p) for k, p, _ in text.REDACTIONS if k in ("email", "ipv4", "number")]
-    counted = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), text.count(F.col("text"), p).alias("n")) for k, p in kinds])).alias("x")).select("x.label", "x.n")
-    return counted.where("n > 0").groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hits"))
-
-
-@query("""select doc_id id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b', '<ip>', 'g')) digest from documents""")
-def redacted_addresses(spark, sf):
-    t = F.col("text")
-    for _, pattern, mark in text.REDACTIONS[:2]:
-        t = F.regexp_replace(t, pattern, mark)
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(t.cast("binary")).alias("digest"))
+    """label, docs: in how many documents each kind of secret or trace value was marked."""
+    _, fired = text.redact(F.col("text"))
+    return table(spark, sf, "documents").select(F.explode(fired).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query()
+def redacted_documents(spark, sf):
+    out, fired = text.redact(F.col("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(out.cast("binary")).alias("digest"), F.array_join(fired, ",").alias("labels"))
+
+
+@query()
+def redacted_responses(spark, sf):
+    """What a response loses before it is given out: secrets, but no trace values."""
+    out, fired = text.redact(F.col("text"), traces=False)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(out.cast("binary")).alias("digest"), F.array_join(fired, ",").alias("labels"))
 
 
 @query("select page_id src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) target from pages")

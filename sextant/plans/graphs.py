@@ -1,4 +1,4 @@
-"""Graph queries: nations as modules, supply lines as imports; parts of one order as co-changes."""
+"""Graph queries: parts as modules, the part on an order's next line as what one imports; parts of one order as co-changes."""
 
 from __future__ import annotations
 
@@ -11,73 +11,71 @@ from sextant.sources.tables import table
 
 QUERIES, ORACLE, query = registry()
 
-EDGES = """(select distinct c_nationkey src, s_nationkey dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-where l_quantity = 50 and l_returnflag = 'R' and l_discount > 0.07 and c_nationkey <> s_nationkey)"""
+EDGES = "(select distinct src, dst from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) dst from lineitem) where src <> dst)"
 COCHANGE = """(select x.l_partkey a, y.l_partkey b, count(*) together from (select distinct l_orderkey, l_partkey from lineitem) x join (select distinct l_orderkey, l_partkey from lineitem) y on x.l_orderkey = y.l_orderkey and x.l_partkey < y.l_partkey
 where x.l_orderkey in (select l_orderkey from lineitem group by 1 having count(distinct l_partkey) between 2 and 20) group by 1, 2)"""
 
 
 @query(f"select src, dst from {EDGES}")
 def import_edges(spark, sf):
-    return tables.import_edges(spark, sf)
+    return tables.part_steps(spark, sf)
 
 
-@query(f"""select n_nationkey as node, coalesce(o, 0) out_degree, coalesce(i, 0) in_degree from nation left join (select src, count(*) o from {EDGES} group by 1) on src = n_nationkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = n_nationkey""")
+@query(f"""select p_partkey as node, coalesce(o, 0) out_degree, coalesce(i, 0) in_degree from part left join (select src, count(*) o from {EDGES} group by 1) on src = p_partkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = p_partkey""")
 def degrees(spark, sf):
-    return metrics.degrees(tables.nodes(spark, sf), tables.import_edges(spark, sf))
+    return metrics.degrees(tables.part_nodes(spark, sf), tables.part_steps(spark, sf))
 
 
-@query(f"""with d as (select n_nationkey as node, coalesce(i, 0) ca, coalesce(o, 0) ce from nation left join (select src, count(*) o from {EDGES} group by 1) on src = n_nationkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = n_nationkey)
+@query(f"""with d as (select p_partkey as node, coalesce(i, 0) ca, coalesce(o, 0) ce from part left join (select src, count(*) o from {EDGES} group by 1) on src = p_partkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = p_partkey)
 select *, case when ca + ce > 0 then round(ce / (ca + ce), 6) end instability from d""")
 def coupling(spark, sf):
-    return metrics.coupling(tables.nodes(spark, sf), tables.import_edges(spark, sf))
+    return metrics.coupling(tables.part_nodes(spark, sf), tables.part_steps(spark, sf))
 
 
-@query(f"""with d as (select coalesce(i, 0) ca, coalesce(o, 0) ce from nation left join (select src, count(*) o from {EDGES} group by 1) on src = n_nationkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = n_nationkey)
+@query(f"""with d as (select coalesce(i, 0) ca, coalesce(o, 0) ce from part left join (select src, count(*) o from {EDGES} group by 1) on src = p_partkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = p_partkey)
 select count(*) filter (ca + ce > 0 and round(ce / (ca + ce), 6) > 0.7) unstable, count(*) total from d""")
 def unstable_modules(spark, sf):
-    return metrics.unstable_modules(metrics.coupling(tables.nodes(spark, sf), tables.import_edges(spark, sf)))
+    return metrics.unstable_modules(metrics.coupling(tables.part_nodes(spark, sf), tables.part_steps(spark, sf)))
 
 
 @query(f"""with recursive e as materialized {EDGES}, r as (select 0 as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3)
 select node, min(depth) depth from r group by node""")
 def blast_radius(spark, sf):
-    return graph.bfs(tables.import_edges(spark, sf), spark.createDataFrame([(0,)], "node int"), 3)
+    return graph.bfs(tables.part_steps(spark, sf), spark.createDataFrame([(0,)], "node bigint"), 3)
 
 
-@query(f"""with recursive e as materialized {EDGES}, r as (select 0 as node union select e.dst from r join e on e.src = r.node) select n_nationkey as node, n_nationkey in (select node from r) reached from nation""")
+@query(f"""with recursive e as materialized {EDGES}, r as (select 0 as node union select e.dst from r join e on e.src = r.node) select p_partkey as node, p_partkey in (select node from r) reached from part""")
 def reachability(spark, sf):
-    found = graph.bfs(tables.import_edges(spark, sf), spark.createDataFrame([(0,)], "node int")).select("node", F.lit(True).alias("reached"))
-    return tables.nodes(spark, sf).join(found, "node", "left").na.fill(False, ["reached"])
+    found = graph.bfs(tables.part_steps(spark, sf), spark.createDataFrame([(0,)], "node bigint")).select("node", F.lit(True).alias("reached"))
+    return tables.part_nodes(spark, sf).join(found, "node", "left").na.fill(False, ["reached"])
 
 
 _RANK_STEP = "select n.node, 0.15 / c.n + 0.85 * (coalesce(g.given, 0) + l.loose / c.n) rank from n cross join c cross join (select coalesce(sum(rank), 0) loose from r{i} where node not in (select src from e)) l left join (select dst, sum(rank / d) given from e join o using (src) join r{i} on r{i}.node = src group by dst) g on g.dst = n.node"
 
 
-@query(f"with e as materialized {EDGES}, n as (select n_nationkey as node from nation), c as (select count(*) n from n), o as (select src, count(*) d from e group by src), r0 as (select node, 1.0::double / c.n rank from n, c)" + "".join(
+@query(f"with e as materialized {EDGES}, n as (select p_partkey as node from part), c as (select count(*) n from n), o as (select src, count(*) d from e group by src), r0 as (select node, 1.0::double / c.n rank from n, c)" + "".join(
     f", r{i + 1} as materialized ({_RANK_STEP.format(i=i)})" for i in range(20)) + " select node, round(rank, 6) rank from r20")
 def pagerank_20_rounds(spark, sf):
-    out = graph.pagerank(tables.nodes(spark, sf), tables.import_edges(spark, sf), rounds=20, tolerance=0.0)
+    out = graph.pagerank(tables.part_nodes(spark, sf), tables.part_steps(spark, sf), rounds=20, tolerance=0.0)
     return out.select("node", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def pagerank(spark, sf):
-    return graph.pagerank(tables.nodes(spark, sf), tables.import_edges(spark, sf)).select("node", F.round("rank", 4).alias("rank"))
+    return graph.pagerank(tables.part_nodes(spark, sf), tables.part_steps(spark, sf)).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query(f"""with recursive e as materialized {EDGES}, p as (select src, dst from e union select p.src, e.dst from p join e on p.dst = e.src), m as (select a.src, min(a.dst) scc from p a join p b on a.src = b.dst and a.dst = b.src group by a.src)
-select scc, array_to_string(list_sort(list(src)), ',') members from m group by scc having count(*) > 1""")
+@query()
 def import_cycles(spark, sf):
-    return graph.cycles(tables.import_edges(spark, sf)).select("scc", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return graph.strong_components(tables.part_steps(spark, sf))
 
 
-@query(f"""select src, dst, a.n_regionkey src_layer, b.n_regionkey dst_layer from {EDGES} join nation a on a.n_nationkey = src join nation b on b.n_nationkey = dst where b.n_regionkey > a.n_regionkey + 1""")
+@query(f"""select src, dst, a.p_size src_layer, b.p_size dst_layer from {EDGES} join part a on a.p_partkey = src join part b on b.p_partkey = dst where b.p_size > a.p_size + 1""")
 def layer_violations(spark, sf):
-    layers = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("layer"))
-    r = table(spark, sf, "region").select("r_regionkey")
-    rules = r.alias("a").join(r.alias("b"), F.col("b.r_regionkey") > F.col("a.r_regionkey") + 1).select(F.col("a.r_regionkey").alias("layer"), F.col("b.r_regionkey").alias("forbidden"))
-    return graph.layer_violations(tables.import_edges(spark, sf), layers, rules)
+    layers = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("layer"))
+    sizes = layers.select("layer").distinct()
+    rules = sizes.alias("a").join(sizes.alias("b"), F.col("b.layer") > F.col("a.layer") + 1).select("a.layer", F.col("b.layer").alias("forbidden"))
+    return graph.layer_violations(tables.part_steps(spark, sf), layers, rules)
 
 
 @query(f"select a, b, together from {COCHANGE} where together >= 2")
@@ -85,16 +83,6 @@ def co_changes(spark, sf):
     return graph.co_changes(tables.commit_files(spark, sf)).where("together >= 2")
 
 
-@query(f"""with t as (select *, together / (select max(together) from {COCHANGE}) share from {COCHANGE}),
-s as (select x.l_suppkey, y.p_partkey from lineitem x join part y on l_partkey = p_partkey)
-select a, b, round(0.3 * share, 6) weight from t where round(0.3 * share, 6) > 0.01 and together >= 2""")
-def tectonic_edges(spark, sf):
-    temporal = graph.share_of_max(graph.co_changes(tables.commit_files(spark, sf)), "together")
-    least = graph.co_changes(tables.commit_files(spark, sf)).where("together >= 2").select("a", "b")
-    none = temporal.limit(0)
-    return graph.fuse_edges(none, none, temporal).join(least, ["a", "b"], "left_semi")
-
-
 def fused(spark, sf):
     """a, b, weight of parts: next to each other in orders (structural), in deliveries of a supplier's day (behavioural), in the same orders (temporal)."""
     steps = tables.part_steps(spark, sf).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -103,6 +91,15 @@ def fused(spark, sf):
     return graph.fuse_edges(graph.share_of_max(graph.cut(steps), "n"), graph.share_of_max(graph.cut(shared), "shared"), graph.share_of_max(graph.cut(together), "together"))
 
 
+@query(f"""with t as (select * from {COCHANGE}), s as (select least(src, dst) a, greatest(src, dst) b, count(*) n from {EDGES} group by all),
+d as (select distinct l_partkey as file, l_suppkey || ' ' || l_shipdate::date as name from lineitem), f as (select name from d group by name having count(*) <= 30),
+k as (select x.file a, y.file b, count(*) n from d x join d y on x.name = y.name and x.file < y.file where x.name in (select name from f) group by all),
+u as (select a, b, 0.4 * (n / (select max(n) from s)) part from s union all select a, b, 0.3 * (n / (select max(n) from k)) from k union all select a, b, 0.3 * (together / (select max(together) from t)) from t)
+select a, b, round(sum(part), 6) weight from u group by a, b having round(sum(part), 6) > 0.01""")
+def tectonic_edges(spark, sf):
+    return fused(spark, sf)
+
+
 @query()
 def communities(spark, sf):
     e = graph.cut(fused(spark, sf))
@@ -117,21 +114,21 @@ def components(spark, sf):
     return graph.connected(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query(f"""with s1 as (select n_nationkey as node, n_nationkey not in (select dst from {EDGES}) a, n_nationkey not in (select src from {EDGES}) b, n_nationkey not in (select s_nationkey from supplier) c from nation)
-select node, round((a::int + b::int + c::int) / 3.0, 6) vote from s1""")
+@query(f"""with e as materialized {EDGES}, s as (select p_partkey as node, p_partkey not in (select dst from e) a, p_partkey not in (select src from e) b, p_partkey not in (select l_partkey from lineitem) c from part)
+select node, round((a::int + b::int + c::int) / 3.0, 6) vote from s""")
 def dead_code_vote(spark, sf):
-    e = tables.import_edges(spark, sf)
+    e = tables.part_steps(spark, sf)
     mark = lambda df, c, name: df.select(F.col(c).alias("node")).distinct().withColumn(name, F.lit(1))
-    out = tables.nodes(spark, sf).join(mark(e, "dst", "a"), "node", "left").join(mark(e, "src", "b"), "node", "left").join(mark(table(spark, sf, "supplier"), "s_nationkey", "c"), "node", "left")
+    out = tables.part_nodes(spark, sf).join(mark(e, "dst", "a"), "node", "left").join(mark(e, "src", "b"), "node", "left").join(mark(table(spark, sf, "lineitem"), "l_partkey", "c"), "node", "left")
     signals = [F.when(F.col(c).isNull(), 1).otherwise(0) for c in "abc"]
     return out.select("node", F.round(sum(signals[1:], signals[0]) / 3, 6).alias("vote"))
 
 
-@query(f"""with h as (select count(*) filter (i > 0.7) unstable, count(*) total from (select coalesce(o, 0) / nullif(coalesce(o, 0) + coalesce(i, 0), 0) i from nation left join (select src, count(*) o from {EDGES} group by 1) on src = n_nationkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = n_nationkey)),
+@query(f"""with h as (select count(*) filter (i > 0.7) unstable, count(*) total from (select coalesce(o, 0) / nullif(coalesce(o, 0) + coalesce(i, 0), 0) i from part left join (select src, count(*) o from {EDGES} group by 1) on src = p_partkey left join (select dst, count(*) i from {EDGES} group by 1) on dst = p_partkey)),
 c as (select avg(p_size) a from part where p_size > 0)
 select round(greatest(0, 100 - a * 2), 2) complexity, round(100 * (1 - unstable / total), 2) stability, round((round(greatest(0, 100 - a * 2), 2) + round(100 * (1 - unstable / total), 2)) / 2, 2) composite from h, c""")
 def health_radar(spark, sf):
-    unstable = metrics.unstable_modules(metrics.coupling(tables.nodes(spark, sf), tables.import_edges(spark, sf)))
+    unstable = metrics.unstable_modules(metrics.coupling(tables.part_nodes(spark, sf), tables.part_steps(spark, sf)))
     c = table(spark, sf, "part").where("p_size > 0").agg(F.avg("p_size").alias("a"))
     axes = {"complexity": F.round(F.greatest(F.lit(0.0), 100 - F.col("a") * 2), 2), "stability": F.round(100 * (1 - F.col("unstable") / F.col("total")), 2)}
     return unstable.crossJoin(c).select(*metrics.radar(axes)).drop("grade")

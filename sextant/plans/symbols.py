@@ -93,10 +93,15 @@ def hotspots(spark, sf):
     return metrics.hotspots(tables.symbols(spark, sf), metrics.churn(tables.commit_files(spark, sf), "2000-01-01 00:00:00"), top=50)
 
 
-@query(f"""select category, count(*) n from (select case when regexp_matches(subject, '(?i)urgent') then 'bugfix' when regexp_matches(subject, '(?i)high') then 'feature' else 'evolution' end category from (select distinct sha, subject from {COMMITS})) group by category""")
+_SUBJECTS = ["Revert the change", "Move files, rename modules", "hotfix of a crash", "make it faster", "Simplify and clean up", "tests of the parser", "README", "bump deps", "implement a reader", "weekly merge"]
+_CASES = " ".join(f"when regexp_matches(subject, '(?i){p}') then '{c}'" for c, p in predicates.COMMIT_CATEGORIES)
+
+
+@query(f"""with s as (select {_SUBJECTS!r}[1 + o_orderkey % 10] || ' ' || o_orderpriority subject from orders) select category, count(*) n, min(subject) sample from (select subject, case {_CASES} else 'evolution' end category from s) group by category""")
 def commit_categories(spark, sf):
-    commits = tables.commit_files(spark, sf).select("sha", "subject").distinct()
-    return commits.select(predicates.classify(F.col("subject"), [("bugfix", "urgent"), ("feature", "high")]).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    subject = F.concat(F.element_at(F.array(*map(F.lit, _SUBJECTS)), (1 + F.col("o_orderkey") % 10).cast("int")), F.lit(" "), "o_orderpriority")
+    named = table(spark, sf, "orders").select(subject.alias("subject")).withColumn("category", predicates.classify(F.col("subject")))
+    return named.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("sample"))
 
 
 @query(f"""select p_brand as file, p_type as language, count(*) n from part group by rollup(p_brand, p_type)""")
@@ -104,10 +109,10 @@ def repo_outline(spark, sf):
     return table(spark, sf, "part").rollup("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("p_brand").alias("file"), F.col("p_type").alias("language"), "n")
 
 
-@query(f"""select p_brand, p_size, grouping_id(p_brand, p_size)::bigint g, count(*) n from part where p_size <= 3 group by grouping sets ((p_brand), (p_size), (p_brand, p_size), ())""")
+@query("select p_brand, p_size, grouping_id(p_brand, p_size)::bigint g, count(*) n from part group by grouping sets ((p_brand), (p_size), (p_brand, p_size), ())")
 def grouping_sets(spark, sf):
-    table(spark, sf, "part").where("p_size <= 3").createOrReplaceTempView("__small_parts")
-    return spark.sql("select p_brand, p_size, grouping_id(p_brand, p_size) g, count(*) n from __small_parts group by grouping sets ((p_brand), (p_size), (p_brand, p_size), ())")
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    return spark.sql("select p_brand, p_size, grouping_id(p_brand, p_size) g, count(*) n from __parts group by grouping sets ((p_brand), (p_size), (p_brand, p_size), ())")
 
 
 @query(f"""with l as (select id, file, name, 0.5 * cyclomatic / 50 + 0.5 * byte_length / (select max(byte_length) from {SYMBOLS}) s from {SYMBOLS}),
@@ -125,11 +130,13 @@ def packed_context(spark, sf):
     return search.pack(s, 4000)
 
 
-@query(f"""with s as (select name, max(cyclomatic) top1, min(cyclomatic) top2 from {SYMBOLS} group by name), c as (select name, least(1.0, case when top1 > 0 then (top1 - top2) / top1 else 0 end) gap, 1 - exp(-top1 / 4.0) strength from s)
-select name, round(exp(0.35 * ln(greatest(gap, 1e-6)) + 0.35 * ln(greatest(strength, 1e-6)) + 0.15 * ln(1.0) + 0.15 * ln(0.5)), 3) confidence from c""")
+@query(f"""with s as (select name, max(cyclomatic) top1, min(cyclomatic) top2, case min(id) % 3 when 0 then 1.0 when 1 then 0.6 else 0.7 end ident, case when max(id) % 2 = 0 then 0.6 else 1.0 end fresh from {SYMBOLS} group by name),
+c as (select *, least(1.0, case when top1 > 0 then (top1 - top2) / top1 else 0 end) gap, 1 - exp(-top1 / 4.0) strength from s)
+select name, round(exp(0.35 * ln(greatest(gap, 1e-6)) + 0.35 * ln(greatest(strength, 1e-6)) + 0.15 * ln(ident) + 0.15 * ln(fresh)), 3) confidence from c""")
 def result_confidence(spark, sf):
-    s = tables.symbols(spark, sf).groupBy("name").agg(F.max("cyclomatic").alias("a"), F.min("cyclomatic").alias("b"))
-    return s.select("name", metrics.confidence(F.col("a"), F.col("b"), F.lit(True), F.lit(True)).alias("confidence"))
+    s = tables.symbols(spark, sf).groupBy("name").agg(F.max("cyclomatic").alias("a"), F.min("cyclomatic").alias("b"), F.min("id").alias("i"), F.max("id").alias("j"))
+    known = F.when(F.col("i") % 3 == 0, True).when(F.col("i") % 3 == 1, False)
+    return s.select("name", metrics.confidence(F.col("a"), F.col("b"), known, F.col("j") % 2 == 0).alias("confidence"))
 
 
 @query(f"""select id, case when lower(name) = 'blue' then 30 when lower(name) like 'blue%' then 15 when lower(name) like '%blue%' then 5 else 0 end + case when list_contains(string_split(lower(summary), ' '), 'blue') then 8 when lower(summary) like '%blue%' then 2 else 0 end score

@@ -92,17 +92,31 @@ def frame_to_symbol(spark, sf):
     return runtime.innermost(points, spans)
 
 
-_RANKING = "(select user_id query_hash, value / 100 confidence, (event_id % 3)::int returned, value / 50 top1, value / 51 top2, event_type = 'click' semantic_used from events)"
+_RANKING = "(select user_id query_hash, value / 100 confidence, (event_id % 3)::int returned, value / 50 top1, value / 51 top2, event_type = 'click' semantic_used, event_id % 2 = 0 identity_hit, event_id % 4 = 0 stale from events)"
 
 
 def _ranking(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").select(F.col("user_id").alias("query_hash"), (v / 100).alias("confidence"), (F.col("event_id") % 3).cast("int").alias("returned"), (v / 50).alias("top1"), (v / 51).alias("top2"), (F.col("event_type") == "click").alias("semantic_used"))
+    v, e = F.col("value"), F.col("event_id")
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("query_hash"), (v / 100).alias("confidence"), (e % 3).cast("int").alias("returned"), (v / 50).alias("top1"), (v / 51).alias("top2"), (F.col("event_type") == "click").alias("semantic_used"),
+        (e % 2 == 0).alias("identity_hit"), (e % 4 == 0).alias("stale"))
 
 
-@query(f"""with p as (select query_hash, count(*) n, count(*) filter (confidence < 0.3 and returned > 0) low, count(*) filter (returned = 0 or (returned <= 1 and coalesce(top1, 0) < 0.10)) thin, count(*) filter (top1 - top2 < 0.05) amb from {_RANKING} group by 1)
-select query_hash, 'requery_churn' as kind from p where n >= 5 union all select query_hash, 'low_confidence' from p where low >= 2 union all select query_hash, 'thin_result' from p where thin >= 2 union all select query_hash, 'ambiguous_top' from p where amb >= 2""")
+_REGRET = f"""with p as (select query_hash, count(*) n, count(*) filter (confidence < 0.3 and returned > 0) low, coalesce(round(avg(confidence) filter (confidence < 0.3 and returned > 0), 3), 0) mean, count(*) filter (returned = 0 or (returned <= 1 and (top1 is null or top1 < 0.10))) thin,
+count(*) filter (top1 - top2 < 0.05) amb, count(*) filter (not identity_hit and semantic_used and confidence >= 0.3) voc from {_RANKING} group by 1),
+k as (select query_hash, 'requery_churn' as kind, n, 0 mean, 5 least, 8 high from p union all select query_hash, 'low_confidence', low, mean, 2, 6 from p union all select query_hash, 'thin_result', thin, 0, 2, 5 from p
+union all select query_hash, 'ambiguous_top', amb, 0, 2, 6 from p union all select query_hash, 'vocabulary_gap', voc, 0, 2, 6 from p),
+r as (select *, row_number() over (partition by kind order by n desc, mean, query_hash) r from k where n >= least), t as (select count(*) m, count(*) filter (stale) n from {_RANKING})
+select query_hash, kind, n, case when n >= high then 'high' else 'medium' end severity from r where {{most}} union all select null, 'stale_at_query', n, case when n > 0.4 * m then 'high' else 'medium' end from t where m >= 5 and n > 0.2 * m"""
+
+
+@query(_REGRET.format(most="true"))
 def regret(spark, sf):
+    return metrics.regret(_ranking(spark, sf), clusters=None)
+
+
+@query(_REGRET.format(most="r <= 5"))
+def regret_clusters(spark, sf):
     return metrics.regret(_ranking(spark, sf))
 
 

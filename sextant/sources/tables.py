@@ -26,19 +26,6 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(files, "sha")
 
 
-def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation to nation edges (src, dst) of a few large returned lines, the sparse graph of this star schema; self-edges dropped."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'R' and l_discount > 0.07").select("l_orderkey", "l_suppkey")
-    src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
-    dst = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
-    edges = lines.join(src, F.col("l_orderkey") == F.col("o_orderkey")).join(dst, F.col("l_suppkey") == F.col("s_suppkey"))
-    return edges.where("src <> dst").select("src", "dst").distinct()
-
-
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-
-
 def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part to part edges (src, dst) of all lines: the part on an order's next line, in the order of line numbers and parts; self-edges dropped."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
@@ -70,3 +57,13 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, target): hrefs of pages, by page and lower-cased path."""
     hrefs = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), F.explode(hrefs).alias("target"))
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as documents of nested sections: id, doc, turn, parent_id (each section holds two), level, title, content, byte_start, byte_end."""
+    c, t = F.col("conv_id"), F.col("turn")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    size = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "conversations").select(
+        (c * 1000 + t).alias("id"), c.alias("doc"), t.alias("turn"), F.when(t > 0, c * 1000 + F.floor((t - 1) / 2)).alias("parent_id"), (F.floor(F.log2(t + 1.0 + 1e-9)) + 1).cast("int").alias("level"),
+        F.concat_ws(" ", "role", t.cast("string")).alias("title"), F.col("text").alias("content"), (F.sum(size).over(w) - size).alias("byte_start"), F.sum(size).over(w).alias("byte_end"))

@@ -35,9 +35,9 @@ def components(edges):
 
 def test_no_line_is_left_out(spark):
     edges = steps()
-    got = [(r.src, r.dst) for r in QUERIES["whole_import_edges"](spark, SF).collect()]
+    got = [(r.src, r.dst) for r in QUERIES["import_edges"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == edges
-    assert {(r.node, r.scc) for r in QUERIES["whole_import_cycles"](spark, SF).collect()} == components(edges)
+    assert {(r.node, r.scc) for r in QUERIES["import_cycles"](spark, SF).collect()} == components(edges)
 
 
 def test_strong_components(spark):
@@ -49,7 +49,7 @@ def test_strong_components(spark):
 
 
 def test_communities_are_of_fused_edges(spark):
-    weights = {(r.a, r.b): r.weight for r in QUERIES["whole_tectonic_edges"](spark, SF).collect()}
+    weights = {(r.a, r.b): r.weight for r in QUERIES["tectonic_edges"](spark, SF).collect()}
     assert {tuple(sorted(e)) for e in steps()} <= set(weights)  # 0.4 or 0.2 each, none is light
     near = {}
     for (a, b), w in weights.items():

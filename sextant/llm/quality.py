@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.llm.common import lean
+from sextant.llm.common import lean, small_batches
 
 #: Bytes of a passage; a document's passages are equally long.
 PASSAGE = 512
@@ -155,6 +155,98 @@ def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
+    """Fit on at most `sample` labelled documents whose fold isn't 0, with all their passages.
+
+    The sample is those with the smallest hashes of doc_id. Null labels are
+    left out; a document labelled more than once has the mean of its labels.
+    """
+    known = labels.where("quality is not null and doc_id is not null").where(fold() != 0).groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    known = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), F.col("id") == known.doc_id).select("id", "text", "y")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, _ = passages([batch.column(1)[i].as_py()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([x.tobytes()], pa.binary())], ["id", "y", "x"])
+
+    got = sorted(rows.mapInArrow(lean(encode), "id long, y double, x binary").collect(), key=lambda r: (r.id, r.x))
+    bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
+    size = np.array([len(b) for b in bags], np.int64)
+    x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, FEATURES))
+    return fit_bags(x, np.cumsum(size) - size, np.array([r.y for r in got], float))
+
+
+def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.const is not None:
+            return np.full(len(texts), self.const)
+        x, first = passages(texts)
+        return forward(self.net, (x - self.mean) / self.scale, first)[0]
+
+
+def _sum(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(a, first, axis=0)
+
+
+def forward(net: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Scores of bags of rows: h encodes a passage, gated attention weighs it in its bag, the weighted sum is scored."""
+    size = np.diff(np.append(first, len(x)))
+    h = np.tanh(x @ net["W"] + net["b"])
+    t, g = np.tanh(h @ net["V"]), 1 / (1 + np.exp(-(h @ net["U"])))
+    e = (t * g) @ net["w"]
+    e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), size))
+    a = e / np.repeat(_sum(e, first), size)
+    z = _sum(a[:, None] * h, first)
+    logit = z @ net["c"] + net["d"][0]
+    return 1 / (1 + np.exp(-logit)), (size, h, t, g, a, z)
+
+
+def _gradients(net: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    p, (size, h, t, g, a, z) = forward(net, x, first)
+    up = (p - y) / len(y)
+    dz = up[:, None] * net["c"]
+    dz_row = np.repeat(dz, size, axis=0)
+    da = (dz_row * h).sum(1)
+    de = a * (da - np.repeat(_sum(a * da, first), size))
+    dt, dg = de[:, None] * net["w"] * g * (1 - t * t), de[:, None] * net["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dz_row + dt @ net["V"].T + dg @ net["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": ((t * g) * de[:, None]).sum(0), "c": z.T @ up, "d": np.array([up.sum()])}
+
+
+def fit_bags(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Train on bags: rows x, each bag's first row, labels in 0 to 1."""
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(1), np.ones(1), {}, float(y[0]) if len(y) else 0.5)
+    rng = np.random.default_rng(seed)
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    x = (x - mean) / scale
+    near = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
+    net = {"W": near(FEATURES, hidden), "b": np.zeros(hidden), "V": near(hidden, gate), "U": near(hidden, gate), "w": near(gate), "c": near(hidden), "d": np.zeros(1)}
+    m, v = ({k: np.zeros_like(p) for k, p in net.items()} for _ in range(2))
+    step = 0
+    ends = np.append(first[1:], len(x))
+    for epoch in range(epochs):
+        order = rng.permutation(len(y))
+        for part in np.array_split(order, max(1, len(y) // 128)):
+            rows = np.concatenate([np.arange(first[i], ends[i]) for i in part])
+            size = ends[part] - first[part]
+            grads = _gradients(net, x[rows], np.cumsum(size) - size, y[part])
+            step += 1
+            lr = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
+            for k, grad in grads.items():
+                grad = grad + decay * net[k]
+                m[k] = 0.9 * m[k] + 0.1 * grad
+                v[k] = 0.999 * v[k] + 0.001 * grad * grad
+                net[k] = net[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    return Model(mean, scale, net)
+
+
+def fold() -> Column:
+    """crc32 of doc_id as text, mod 5; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages_each: int = 48) -> Model:
     """Fit on at most about `sample` labelled documents whose fold isn't 0.
 
@@ -188,6 +280,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scores; an empty table gives no rows.
     """
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.llm.common import lean, save
+from sextant.llm.common import lean, save, small_batches
 
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "grammar")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LOGIN = re.compile(r"(?<=[A-Za-z0-9._%+-]:)[^\s:@/]{16,}+(?=@)")
 LEARNT = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Symbols of a sampled token that its tree has, so that a tree is bounded; candidates are scored whole.
+DEPTH = 256
 END = "$"
 
 
@@ -166,12 +168,13 @@ def _picked(words: set[str], most: int) -> list[str]:
 def fit(credentials: set[str], others: set[str], most: int = 600, least: int = 5) -> Grammar | None:
     """A grammar from labelled tokens, or None with fewer than `least` of either kind.
 
-    At most `most` distinct tokens of each kind build the trees. The limit is
-    over the ratios of all given other tokens, so none of them would be found.
+    A bounded sample builds the trees: `most` distinct tokens of each kind,
+    DEPTH symbols of each. The limit is over the ratios of all given other
+    tokens, so none of them would be found.
     """
     if len(credentials) < least or len(others) < least:
         return None
-    made = [infer([shape(w)[:48] for w in _picked(kind, most)]) for kind in (credentials, others)]
+    made = [infer([shape(w)[:DEPTH] for w in _picked(kind, most)]) for kind in (credentials, others)]
     grammar = Grammar(*made, 0.0)
     return Grammar(*made, max(0.25, max(grammar.ratio(w) for w in others if len(w) >= 16 or len(others) < 50) + 0.05) if any(len(w) >= 16 for w in others) else 0.25)
 
@@ -204,15 +207,17 @@ def learn(docs: DataFrame, credentials: int = 5000, others: int = 20000) -> Gram
     prefix say which prefixes the driver needs.
     """
 
+    small_batches(docs.sparkSession)
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good = kept = _Smallest(others), _Smallest(credentials)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                for w in {(ASSIGN.match(text, s)[2] if k == 0 else text[s:e])[:200] for s, k, e in spans}:
+                for w in {(ASSIGN.match(text, s)[2] if k == 0 else text[s:e]) for s, k, e in spans}:
                     good.add(w)
-                for w in {m[0][:200] for m in LEARNT.finditer(text) if m[0].isalpha() and not any(s < m.end() and m.start() < e for s, _, e in spans)}:
+                for w in {m[0] for m in LEARNT.finditer(text) if m[0].isalpha() and not any(s < m.end() and m.start() < e for s, _, e in spans)}:
                     bad.add(w)
         for kind, k in enumerate(kept):
             k.cut()
@@ -271,6 +276,7 @@ def scan(docs: DataFrame, grammar: Grammar | None, rewrite: bool = False) -> Dat
     equal spans; an empty table gives no rows.
     """
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

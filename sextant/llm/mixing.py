@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WORD, fits_broadcast, lookup, save
+from sextant.llm.common import WORD, free_name, lookup, save, skew_join, stable
 
 #: Bits of the hash, and bits that one histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Parts in which rows that repeat each other wholly are numbered.
+SALTS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -20,7 +22,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     share times all sizes; a target stops at cap times its source's size, and
     what is left over is shared again by weight. In closed form: by rising
     cap / weight, a source is capped while its cap is below its share of what
-    the capped ones before it leave.
+    the capped ones before it leave. The windows have one row a source, of a
+    few numbers, whatever the sources' sizes.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -45,26 +48,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Every document of a source is taken floor(target / source size) times, and
     once more if its hash lies under the source's threshold. The threshold is
     found by histograms of words by source and hash prefix, 12 bits each: only
-    the bucket that the rest of the budget ends in is resolved by the next one.
-    The last group that the threshold could take or leave is taken if that
-    comes nearer to the target. Nested: a larger budget keeps what a smaller took.
-
-    Null texts and empty texts have size 0. A null source is a source, the
-    last. Rows repeated wholly are taken or left together. An empty table
-    gives no rows. Other columns are ignored.
+    the bucket that the remainder of the budget ends in is resolved by the next
+    one. The last document that the threshold could take or leave is taken if
+    that comes nearer to the target. Nested: a larger budget keeps what a
+    smaller took.
+
+    The hash is of doc_id, source and text, and of rows that agree in all three
+    each has its number in it, so rows with a null or repeated id are taken or
+    left one by one. Null texts and empty texts have size 0. A null source is a
+    source, the last. An empty table gives no rows. Other columns are ignored.
     """
-    rows = save(docs.select("doc_id", _source_key().alias("k"), "source", _size().alias("size"), _hash().alias("h")))
-    state = thresholds(rows, weights, share, cap)
-    out = lookup(rows, state, ["k"]).withColumn("repeats", _repeats())
+    named = docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    rows, _ = _hashed(save(named.select("doc_id", _source_key().alias("k"), "source", _size().alias("size"), _digest().alias("digest"), "row")))
+    out = lookup(rows, thresholds(rows, weights, share, cap), ["k"]).withColumn("repeats", _repeats())
     return out.select("doc_id", "source", "size", "h", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The mixed corpus itself: each row of docs, with all its columns, as many times as the mix takes it."""
-    state = thresholds(save(docs.select(_source_key().alias("k"), "source", _size().alias("size"), _hash().alias("h"))), weights, share, cap)
-    named = state.select(*[F.col(c).alias(f"__{c}") for c in state.columns])
-    out = lookup(docs.withColumns({"__k": _source_key(), "__h": _hash()}), named, ["__k"])
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), _repeats("__").cast("int")))).drop("__k", "__h", "__copy", *named.columns)
+    """The mixed corpus itself: each row of docs, with all its columns, as many times as the mix takes it, by the rules of mix."""
+    docs = stable(docs)
+    row, k, digest, h, copy = (free_name(docs, x) for x in ("row", "key", "digest", "hash", "copy"))
+    docs = docs.withColumns({row: F.monotonically_increasing_id(), k: _source_key()})
+    first = save(docs.select(F.col(k).alias("k"), "source", _size().alias("size"), _digest().alias("digest"), F.col(row).alias("row")))
+    rows, repeats = _hashed(first)
+    state = thresholds(rows, weights, share, cap)
+    if repeats:
+        docs = docs.join(rows.select(F.col("row").alias(row), F.col("h").alias(h)), row)
+    else:
+        docs = docs.withColumn(h, _hash(_digest()))
+    mark = free_name(docs, "state")
+    out = lookup(docs, state.select(F.col("k").alias(k), *[F.col(c).alias(mark + c) for c in state.columns if c != "k"]), [k])
+    times = F.array_repeat(F.lit(0), _repeats(mark, h).cast("int"))
+    return out.withColumn(copy, F.explode(times)).drop(row, k, h, copy, *[mark + c for c in state.columns])
 
 
 def _source_key() -> Column:
@@ -76,14 +91,40 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _hash() -> Column:
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _digest() -> Column:
+    """A digest of what tells a row from others: doc_id, source and text."""
+    part = lambda c: F.coalesce(c, F.lit("-"))
+    return F.md5(F.concat_ws(":", part(F.col("doc_id").cast("string")), part(F.col("source")), part(F.md5(F.col("text").cast("binary")))).cast("binary"))
+
 
+def _hash(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
-def _repeats(mark: str = "") -> Column:
+
+def _hashed(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows, a saved table (digest, row, ...), with the hash h, and whether digests repeat; the n-th repeat of one gets a hash of digest and n.
+
+    Without repeated digests this is a projection of rows, and nothing is
+    shuffled but digests to find that out. Otherwise repeats are numbered in
+    SALTS parts, each from where the parts before it end, so that many of one
+    digest make no large task.
+    """
+    again = save(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("digest"))
+    if again.isEmpty():
+        return rows.withColumn("h", _hash(F.col("digest"))), False
+    part = save(skew_join(rows.select("digest", "row"), again, ["digest"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(6), "row"), F.lit(SALTS))))
+    ends = part.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("m"))
+    before = ends.withColumn("before", F.sum("m").over(Window.partitionBy("digest").orderBy("salt")) - F.col("m")).drop("m")
+    nth = F.row_number().over(Window.partitionBy("digest", "salt").orderBy("row")) - 1
+    numbered = part.withColumn("i", nth).join(before, ["digest", "salt"]).select("row", (F.col("before") + F.col("i")).alias("n"))
+    out = rows.join(numbered, "row", "left")
+    repeat = F.md5(F.concat_ws(":", "digest", F.col("n").cast("string")).cast("binary"))
+    return save(out.withColumn("h", _hash(F.when(F.coalesce("n", F.lit(0)) > 0, repeat).otherwise(F.col("digest")))).drop("n")), True
+
+
+def _repeats(mark: str = "", h: str = "h") -> Column:
     c = lambda name: F.col(mark + name)
-    return c("whole") + F.when((c("h") < c("cut")) & (c("target") > c("whole") * c("source_size")), 1).otherwise(0)
+    return c("whole") + F.when((F.col(h) < c("cut")) & (c("target") > c("whole") * c("source_size")), 1).otherwise(0)
 
 
 def thresholds(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:

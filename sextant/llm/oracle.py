@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from sextant.llm.rules import CHAR_CLASSES, COMMON_WORDS
+from sextant.llm.rules import CHAR_CLASSES, COMMON
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr({x}, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::int, 1)), '')"""
 
 OP1 = f"""with p as (select page_id, coalesce(html, '') h from pages), f as (select h, min(page_id) m from p group by h)
-select page_id, strlen(h)::bigint payload_bytes, {_BASE32.format(x="sha1(h)")} payload_digest, case when page_id = m then 'response' else 'revisit' end record_type, case when page_id <> m then m end refers_to from p join f using (h)"""
+select page_id, strlen(h)::bigint payload_bytes, {_BASE32.format(x="sha1(h)")} payload_digest, case when page_id = m then 'response' else 'revisit' end record_type, case when page_id <> m then m end refers_to, 0::bigint archive_gaps from p join f using (h)"""
 
 OP2 = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
 s as (select doc_id, i, array_to_string(w[i:i+19], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d)),
@@ -19,8 +19,9 @@ g as (select p.doc_id, p.j, p.x, coalesce(bool_or(c.again) over (partition by p.
 r as (select doc_id, count(*) n, count(*) filter (gone) m, sha256(coalesce(string_agg(x, ' ' order by j) filter (not gone), '')) h from g group by doc_id)
 select d.doc_id, coalesce(n, 0) n_words, coalesce(m, 0) n_removed, coalesce(h, sha256('')) kept_sha256 from d left join r on r.doc_id = d.doc_id"""
 
-OP3 = f"""with d as (select doc_id, source, coalesce(source, '') is not null as k, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint size,
-('0x' || substr(md5(concat_ws(':', coalesce(doc_id::varchar, '-'), coalesce(source, '-'))), 1, 15))::bigint h from documents),
+OP3 = f"""with e as (select *, md5(concat_ws(':', coalesce(doc_id::varchar, '-'), coalesce(source, '-'), coalesce(md5(text), '-'))) g from documents),
+n as (select *, row_number() over (partition by g) - 1 again from e),
+d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint size, ('0x' || substr(case when again > 0 then md5(g || ':' || again) else g end, 1, 15))::bigint h from n),
 p as (select source, sum(size)::bigint source_size from d group by source),
 w as (select *, [3.0, 1.0, 2.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double w, source_size * 2.0::double cap from p),
 o as (select *, 1.5::double * sum(source_size) over () total, coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) cb, coalesce(sum(w) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) wb, sum(w) over () wt from w),
@@ -48,21 +49,22 @@ select d.doc_id, n n_bytes, coalesce(m, 0) n_removed, coalesce(s, 0) n_spans, sh
 
 
 def _rules() -> str:
-    classes = {k: p.replace("\\p{Ll}", "\\p{Ll}") for k, p in CHAR_CLASSES.items()}
-    counts = ", ".join(f"len(regexp_extract_all(t, '{p}')) c_{k}" for k, p in classes.items())
-    rest = " - ".join(["length(t)", *[f"c_{k}" for k in classes]])
-    commons = " ".join(f"when lang = '{lang}' then list_append([" + ", ".join(f"len(list_filter(w, lambda x: x = '{c}'))" for c in listed) + "], len(list_filter(w, lambda x: x not in (" + ", ".join(f"'{c}'" for c in listed) + "))))" for lang, listed in COMMON_WORDS.items())
-    js = lambda p, q, n: (f"(case when list_sum({p}) > 0 and list_sum({q}) > 0 then list_sum(list_transform(range(1, {n + 1}), lambda i: case when {p}[i] > 0 then {p}[i] / list_sum({p}) * log2({p}[i] / list_sum({p}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) else 0 end"
-                          f" + case when {q}[i] > 0 then {q}[i] / list_sum({q}) * log2({q}[i] / list_sum({q}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) else 0 end)) / 2 else 0 end)")
+    n, m = len(CHAR_CLASSES) + 1, COMMON + 1
+    counts = ", ".join(f"len(regexp_extract_all(t, '{p}')) c_{k}" for k, p in CHAR_CLASSES.items())
+    rest = " - ".join(["length(t)", *[f"c_{k}" for k in CHAR_CLASSES]])
+    js = lambda p, q, n: (f"(case when list_sum({p}) > 0 and list_sum({q}) > 0 then sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda i: case when {p}[i] > 0 then {p}[i] / list_sum({p}) * log2({p}[i] / list_sum({p}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) else 0 end"
+                          f" + case when {q}[i] > 0 then {q}[i] / list_sum({q}) * log2({q}[i] / list_sum({q}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) else 0 end)) / 2)) else 0 end)")
     sums = lambda c, n: "[" + ", ".join(f"coalesce(sum({c}[{i}]), 0)::double" for i in range(1, n + 1)) + "]"
-    return f"""with d as (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
+    return f"""with d as (select doc_id, coalesce('l' || lang, '') lk, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}') w from documents),
 k as (select doc_id, i, array_to_string(w[i:i+4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)),
 c as (select doc_id, i, count(*) over (partition by doc_id, g) > 1 again from k), z as (select distinct doc_id, unnest(range(i, i + 5)) j from c where again), y as (select doc_id, count(*) n from z group by doc_id),
-b as (select d.doc_id, lang, t, w, len(w)::bigint n_words, coalesce(y.n, 0)::bigint n_repeat_words, {counts}, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from d left join y on y.doc_id = d.doc_id),
-e as (select *, [{', '.join(f'c_{x}' for x in classes)}, {rest}] chars, case {commons} end common, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from b),
-r as (select coalesce('l' || lang, '') lk, sum(n_words) rw, {sums('chars', len(classes) + 1)} rc, {sums('common', 13)} ro from e where not base_failed group by 1)
+u as (select lk, word, count(*) n from (select lk, unnest(list_distinct(w)) word from d) group by all), v as (select lk, word, row_number() over (partition by lk order by n desc, word) r from u qualify r <= {COMMON}), cw as (select lk, list(word order by r) words from v group by lk),
+b as (select d.doc_id, d.lk, t, w, words, len(w)::bigint n_words, coalesce(y.n, 0)::bigint n_repeat_words, {counts}, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from d left join y on y.doc_id = d.doc_id left join cw on cw.lk = d.lk),
+f as (select *, list_transform(range(1, {m}), lambda i: len(list_filter(w, lambda x: x = words[i]))) cc from b),
+e as (select *, [{', '.join(f'c_{x}' for x in CHAR_CLASSES)}, {rest}] chars, list_append(cc, n_words - coalesce(list_sum(cc), 0)::bigint) common, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from f),
+r as (select lk, sum(n_words) rw, {sums('chars', n)} rc, {sums('common', m)} ro from e where not base_failed group by 1)
 select doc_id, n_words, (length(t) - c_space)::bigint word_chars, c_symbol::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, n_repeat_words, base_failed,
-not base_failed and not (n_words >= 50 and coalesce(rw, 0) >= 1000 and ({js('chars', 'rc', len(classes) + 1)} > 0.05 or (common is not null and {js('common', 'ro', 13)} > 0.085))) kept from e left join r on lk = coalesce('l' || lang, '')"""
+not base_failed and not (n_words >= 50 and coalesce(rw, 0) >= 1000 and ({js('chars', 'rc', n)} > 0.22 or {js('common', 'ro', m)} > 0.30)) kept from e left join r on r.lk = e.lk"""
 
 
 ORACLE: dict[str, str] = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op3_mixing": OP3, "op7_near_duplicates": OP7, "op8_quality_rules": _rules(), "op10_suffix_dedup": OP10}

@@ -47,7 +47,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("char_divergence", "word_divergence")
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

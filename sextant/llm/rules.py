@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import WORD, lookup, save
 
-# Twelve of the commonest function words of each language that has a word reference.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-}
+#: Words of a language's reference.
+COMMON = 24
+#: The character of a word that is none of them; the next ones stand for the common words.
+_MARK = 65
 
-#: Character classes of the histogram, as Java patterns; what is in none of them is a class of its own.
-CHAR_CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"[0-9]", "space": r"[\x20\x09-\x0D]", "stop": r"[.,;:]", "mark": r"[!?]", "symbol": r"[#*$%&|<>]"}
+#: Character classes of the histogram, as Java patterns, the commonest first; what is in none of them is a class of its own.
+CHAR_CLASSES = {"lower": r"\p{Ll}", "space": r"[\x20\x09-\x0D]", "upper": r"\p{Lu}", "digit": r"[0-9]", "stop": r"[.,;:]", "mark": r"[!?]", "symbol": r"[#*$%&|<>]"}
 
 SHINGLE = 5
 
@@ -61,72 +58,86 @@ def repeat_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), per_hashes)
 
 
-def _common_counts(words: Column, lang: Column) -> Column:
-    """Counts of each common word of the language and, last, of all others; null without a list."""
-    def counted(listed: list[str]) -> Column:
-        tally = lambda found, x: F.size(F.filter(found, lambda w: w == x)).cast("long")
-        return let(F.filter(words, lambda w: w.isin(listed)), lambda found: F.array(*[tally(found, x) for x in listed], F.size(found).cast("long")))
-
-    out = F.lit(None).cast("array<long>")
-    for code, listed in COMMON_WORDS.items():
-        out = F.when(lang == code, counted(listed)).otherwise(out)
-    return out
-
-
 def _jensen_shannon(p: Column, q: Column) -> Column:
-    """Divergence in bits of two count arrays of the same length; 0 where either is empty."""
+    """Jensen-Shannon distance (the root of the divergence in bits) of two count arrays of the same length; 0 where either is empty."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
     def divergence(t: Column) -> Column:
         terms = F.zip_with(p, q, lambda a, b: let(F.struct((a / t["p"]).alias("a"), (b / t["q"]).alias("b")), lambda s: part(s["a"], (s["a"] + s["b"]) / 2) + part(s["b"], (s["a"] + s["b"]) / 2)))
-        return F.when((t["p"] > 0) & (t["q"] > 0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2).otherwise(0.0)
+        return F.when((t["p"] > 0) & (t["q"] > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))).otherwise(0.0)
 
     return let(F.struct(total(p).alias("p"), total(q).alias("q")), divergence)
 
 
+def _class_counts(text: Column) -> Column:
+    """An array of the counts of CHAR_CLASSES: runs of a class are cut out, one class after the other, from what is left."""
+    def step(rest: Column, patterns: list[str]) -> Column:
+        def after(short: Column) -> Column:
+            here = F.array((F.length(rest) - F.length(short)).cast("long"))
+            return F.concat(here, step(short, patterns[1:])) if patterns[1:] else F.concat(here, F.array(F.length(short).cast("long")))
+
+        return let(F.regexp_replace(rest, F.lit(patterns[0] + "+"), F.lit("")), after)
+
+    return step(text, list(CHAR_CLASSES.values()))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms chars and common, one row per document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
+    """docs (doc_id, text, k, words) as doc_id, k, the base counts, base_failed and the histograms chars and common, one row per document.
+
+    k is the language as a key, words its common words (null: none). A word
+    becomes one character that says which of them it is, so that occurrences
+    are counted on one short string.
+    """
     lines = let(F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    classes = {f"c_{k}": count(p) for k, p in CHAR_CLASSES.items()}
-    rows = docs.select("doc_id", "lang", text.alias("t")).select(
-        "doc_id", "lang", F.length("t").cast("long").alias("n_chars"), *[v.alias(k) for k, v in classes.items()], lines.alias("n_dup_lines"),
-        let(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda ws: F.struct(
-            F.size(ws).cast("long").alias("n_words"), repeat_words(ws).alias("n_repeat_words"), _common_counts(ws, F.col("lang")).alias("common"))).alias("w"))
-    rest = F.col("n_chars") - sum((F.col(k) for k in classes), F.lit(0).cast("long"))
-    common = F.transform(F.col("w.common"), lambda x, i: F.when(i < 12, x).otherwise(F.col("w.n_words") - x))
-    return rows.select(
-        "doc_id", "lang", "w.n_words", (F.col("n_chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "w.n_repeat_words",
-        F.array(*[F.col(k) for k in classes], rest).alias("chars"), common.alias("common"))
+    which = lambda ws: F.array_join(F.transform(ws, lambda w: F.char(F.coalesce(F.array_position("words", w), F.lit(0)) + _MARK)), "")
+    of = lambda s, i: (F.length(s) - F.length(F.replace(s, F.lit(chr(_MARK + i)), F.lit("")))).cast("long")
+    per_word = lambda s: F.array(*[of(s, i) for i in [*range(1, COMMON + 1), 0]])
+    rows = docs.select("doc_id", "k", "words", F.coalesce(F.col("text"), F.lit("")).alias("t")).select(
+        "doc_id", "k", F.length("t").cast("long").alias("n_chars"), _class_counts(F.col("t")).alias("chars"), lines.alias("n_dup_lines"),
+        let(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeat_words(ws).alias("n_repeat_words"), let(which(ws), per_word).alias("common"))).alias("w"))
+    at = {name: F.get("chars", F.lit(i)) for i, name in enumerate(CHAR_CLASSES)}
+    rows = rows.select("doc_id", "k", "w.n_words", (F.col("n_chars") - at["space"]).alias("word_chars"), at["symbol"].alias("n_symbols"), "n_dup_lines", "w.n_repeat_words", "chars", "w.common")
+    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
+
+
+def common_words(docs: DataFrame, most: int = COMMON) -> DataFrame:
+    """A saved table (k, words): of each language the words that most documents hold, ties by code point; a row a language.
+
+    All documents count, a word once in each. Counts are combined before they
+    move, and of each part of a language's words only its best go on, so no
+    task has them all.
+    """
+    words = docs.select("k", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)))).alias("word"))
+    counts = words.groupBy("k", "word").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc(), "word"))).where(F.col("rank") <= most)
+    return save(best.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words")))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, min_reference_words: int = 1000, max_char_divergence: float = 0.05, max_word_divergence: float = 0.085) -> DataFrame:
-    """Base rules, then divergence of each document from its language's reference.
+def quality_rules(docs: DataFrame, min_words: int = 50, min_reference_words: int = 1000, max_char_distance: float = 0.22, max_word_distance: float = 0.30) -> DataFrame:
+    """Base rules, then the distance of each document from its language's reference.
 
     docs: (doc_id, text, lang). The reference of a language is the sum of the
-    histograms of all its documents that pass the base rules. A document of at
-    least min_words words whose language has a reference of at least
-    min_reference_words words is not kept if its character classes or its
-    common words diverge (Jensen-Shannon, bits) by more than the limits; so
-    shorter ones, and those of languages too rare for a reference, are kept
-    unless the base rules fail them. Languages without a list of common words
-    are judged by characters alone; null is a language like any other.
-
-    Null and empty texts have zero counts and fail the base rules. Repeated
-    rows are judged alike. An empty table gives no rows.
+    histograms of all its documents that pass the base rules: of character
+    classes, and of the COMMON words that most of its documents hold, with one
+    bin for all other words. A document of at least min_words words whose
+    language has a reference of at least min_reference_words words is not kept
+    if one of the two Jensen-Shannon distances is over its limit; so shorter
+    ones, and those of languages too rare for a reference, are kept unless the
+    base rules fail them. null is a language like any other.
+
+    Equal windows are told by 64-bit hashes. Null and empty texts have zero
+    counts and fail the base rules. Repeated rows are judged alike. An empty
+    table gives no rows.
     """
-    rows = save(base_counts(docs.select("doc_id", "text", "lang"))
-                .withColumn("k", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")))
-                .withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)))
+    docs = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")).alias("k"))
+    rows = save(base_counts(lookup(docs, common_words(docs), ["k"], "left")))
     good = rows.where(~F.col("base_failed"))
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(n)])
-    ref = save(good.groupBy("k").agg(F.sum("n_words").alias("ref_words"), sums("chars", len(CHAR_CLASSES) + 1).alias("ref_chars"), sums("common", 13).alias("ref_common")))
+    ref = save(good.groupBy("k").agg(F.sum("n_words").alias("ref_words"), sums("chars", len(CHAR_CLASSES) + 1).alias("ref_chars"), sums("common", COMMON + 1).alias("ref_common")))
     out = lookup(rows, ref, ["k"], "left")
-    char, word = _jensen_shannon(F.col("chars"), F.col("ref_chars")), _jensen_shannon(F.col("common"), F.col("ref_common"))
     judged = (F.col("n_words") >= min_words) & (F.coalesce("ref_words", F.lit(0)) >= min_reference_words)
-    out = out.withColumn("char_divergence", F.when(judged, F.coalesce(char, F.lit(0.0)))).withColumn("word_divergence", F.when(judged, F.coalesce(word, F.lit(0.0))))
-    bad = F.coalesce((F.col("char_divergence") > max_char_divergence) | (F.col("word_divergence") > max_word_divergence), F.lit(False))
+    out = out.withColumn("char_distance", F.when(judged, _jensen_shannon(F.col("chars"), F.col("ref_chars")))).withColumn("word_distance", F.when(judged, _jensen_shannon(F.col("common"), F.col("ref_common"))))
+    bad = F.coalesce((F.col("char_distance") > max_char_distance) | (F.col("word_distance") > max_word_distance), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"),
-                      F.round("char_divergence", 6).alias("char_divergence"), F.round("word_divergence", 6).alias("word_divergence"))
+                      F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

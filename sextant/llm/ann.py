@@ -16,6 +16,8 @@ from sextant.llm.common import lean, save
 
 #: Base rows and queries that meet at once.
 BLOCK = 4096
+#: Rows a part is meant to have, so that parts grow with the table; the fewest and the most parts; sample rows a part.
+PART_ROWS, LEAST_PARTS, MOST_PARTS, PART_SAMPLE = 2048, 16, 2048, 32
 
 
 @dataclass
@@ -101,7 +103,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
     return part
 
 
-def fit_router(x: np.ndarray, parts: int = 16, k: int = 20, recall: float = 0.96, hidden: int = 128, epochs: int = 40, seed: int = 11) -> Router:
+def fit_router(x: np.ndarray, parts: int = 16, k: int = 20, recall: float = 0.93, hidden: int = 128, epochs: int = 40, seed: int = 11) -> Router:
     """Learn a router from sample vectors; the number of probes is the least with which the sample's recall at k reaches `recall`.
 
     Parts must be a power of two; with fewer than 8 * parts vectors there is one part, and search is exact.
@@ -142,13 +144,20 @@ def fit_router(x: np.ndarray, parts: int = 16, k: int = 20, recall: float = 0.96
     return router
 
 
-def train(vectors: DataFrame, sample: int = 4096, **how) -> Router:
-    """Fit on at most about `sample` rows of (vec_id, embedding), those with the smallest hashes of vec_id."""
-    part = sample / max(sample, vectors.count())
-    rows = vectors.where(F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).limit(2 * sample)
-    table = rows.select("vec_id", "embedding").toArrow().sort_by("vec_id")
+def train(vectors: DataFrame, parts: int | None = None, **how) -> Router:
+    """Fit on a bounded sample of (vec_id, embedding): those with the smallest hashes of vec_id, 32 a part, 4,096 at least and 65,536 at most.
+
+    Parts: the power of two that makes them of 1,024 to 2,048 rows, from 16 to 2,048.
+    """
+    n = vectors.count()
+    if parts is None:
+        parts = LEAST_PARTS
+        while parts < MOST_PARTS and parts * PART_ROWS < n:
+            parts *= 2
+    rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding", F.xxhash64(F.lit(4), "vec_id").alias("h"))
+    table = rows.orderBy("h", "vec_id").limit(max(4096, PART_SAMPLE * parts)).select("vec_id", "embedding").toArrow().sort_by("vec_id")
     _, x = matrix(table.column("embedding"))
-    return fit_router(x, **how) if len(x) else Router(0, 1, 1)
+    return fit_router(x, parts=parts, **how) if len(x) else Router(0, 1, 1)
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, qrow: int, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +184,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
     in its most probable part; a query goes to its most probable parts, as
     many more as it takes to hold k + 1 rows, is scored there against every row, in blocks, and the blocks' best meet in a
     last ranking. Parts of any size are split into blocks by a hash, so one
-    vector that a third of the rows share is spread like any other.
+    vector that a third of the rows share is spread like any other; a part's
+    rows are sent again for every further block of queries that come to it,
+    those of other parts aren't.
 
     Null, zero and non-finite vectors, those with null components and those of
     another length than most of the sample's take no part. Rows are told apart
@@ -200,16 +211,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
 
     placed = save(rows.mapInArrow(lean(place), "vec_id long, row long, query boolean, vec binary, part int, route array<int>"))
     counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as parts
-    asked = placed.where("query").count()
     blocks = F.array(*[F.lit(-(-counts.get(p, 0) // block)) for p in range(parts)])
     sizes = F.array(*[F.lit(counts.get(p, 0)).cast("long") for p in range(parts)])
     before = lambda i: F.aggregate(F.slice("route", 1, i), F.lit(0).cast("long"), lambda n, p: n + F.get(sizes, p))
     probes = F.filter("route", lambda p, i: (i < router.probes) | (before(i) <= k))
-    q_blocks = max(1, -(-asked // block))
+    asked = {r.p: r.n for r in placed.where("query").select(F.explode(probes).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    turns = F.array(*[F.lit(max(1, -(-asked.get(p, 0) // block))) for p in range(parts)])
     share = lambda c, salt, n: F.pmod(F.xxhash64(F.lit(salt), c), n).cast("int")
-    base = placed.select("vec_id", "row", "vec", "part", share("row", 1, F.get(blocks, F.col("part"))).alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("turn"))
+    base = placed.select("vec_id", "row", "vec", "part", share("row", 1, F.get(blocks, F.col("part"))).alias("sub"), F.explode(F.sequence(F.lit(0), F.get(turns, F.col("part")) - 1)).alias("turn"))
     queries = placed.where("query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("qrow"), F.col("vec").alias("qvec"), F.explode(probes).alias("qpart"))
-    queries = queries.where(F.get(blocks, F.col("qpart")) > 0).withColumn("qturn", share("qrow", 2, F.lit(q_blocks)))
+    queries = queries.where(F.get(blocks, F.col("qpart")) > 0).withColumn("qturn", share("qrow", 2, F.get(turns, F.col("qpart"))))
     queries = queries.withColumn("qsub", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("qpart")) - 1)))
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

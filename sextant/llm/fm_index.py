@@ -8,9 +8,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sextant.llm.common import unique_ids
-from sextant.llm.segments import _starts_of_runs, apply_removals, residual, shared_segments
+from sextant.llm.common import save, skew_join, small_batches, unique_ids
+from sextant.llm.segments import COPY, _starts_of_runs, apply_removals, residual, shared_segments
 
 WINDOW = 20
 #: Words of the gram that anchors a window.
@@ -60,10 +61,15 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over a text of integers 1..sigma, with longest-common-prefix bounds up to a depth."""
+    """Backward search over a text of integers 1..sigma, with longest-common-prefix bounds up to a depth.
 
-    def __init__(self, text: np.ndarray, depth: int):
-        """text: integers from 1, 0 as the end mark of each piece. Pieces' ends never match each other."""
+    What stays is the wavelet matrix of the transform, a byte a position for
+    the common prefixes, and of the suffix array one sample a group of suffixes
+    that share `depth` symbols: the group's earliest position.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, whole: bool = True):
+        """text: integers from 1, 0 as the end mark of each piece. Pieces' ends never match each other. whole: keep the suffix array, too."""
         self.depth, self.n = depth, len(text)
         n = self.n
         rank, h = text.astype(np.int64), 1
@@ -85,8 +91,7 @@ class FMIndex:
             sa = np.argsort(pair, kind="stable")
             rank = pair
             h *= 2
-        self.sa = sa
-        self.rank_depth = h
+        self.sa = sa if whole else None
         # lcp of neighbours, capped at depth: bytes are enough
         self.lcp = np.zeros(n + 1, np.uint8)
         same = np.ones(max(0, n - 1), bool)
@@ -103,6 +108,8 @@ class FMIndex:
         self.bwt = WaveletMatrix(last.astype(np.int64), bits)
         counts = np.bincount(text, minlength=(1 << bits) + 1)
         self.first = np.concatenate([[0], np.cumsum(counts)])
+        groups = self.bound(depth)[:-1]
+        self.earliest = (np.minimum.reduceat(sa, groups) if len(groups) else np.zeros(0, np.int64)).astype(np.uint32)
 
     def bound(self, d: int) -> np.ndarray:
         """Ranks at which the common prefix with the rank before is shorter than d."""
@@ -160,12 +167,12 @@ class FMIndex:
         return length, low, high
 
 
-def shard_matches(uid: np.ndarray, start: np.ndarray, pieces: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Of a shard's pieces (words joined by a space): uid and start of each window that an earlier one equals.
+def shard_matches(uid: np.ndarray, start: np.ndarray, pieces: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's pieces (words joined by a space): the piece and place of each window whose matching statistic reaches the threshold, and whether an earlier one equals it.
 
     The pieces are indexed in the order of (uid, start), then streamed against
-    the index; an interval above the threshold is reported where its earliest
-    occurrence comes before the window itself.
+    the index. Every window of a piece finds at least itself; it is repeated
+    if the earliest occurrence in its interval comes before it.
     """
     order = np.lexsort((start, uid))
     names: dict[bytes, int] = {}
@@ -177,10 +184,9 @@ def shard_matches(uid: np.ndarray, start: np.ndarray, pieces: list[bytes], windo
     text = np.zeros(int((size + 1).sum()), np.int32)
     for b, c in zip(begin, coded, strict=True):
         text[b : b + len(c)] = c
-    index = FMIndex(text, window)
+    index = FMIndex(text, window, whole=False)
     bounds = index.bound(window)[:-1]
-    earliest = np.minimum.reduceat(index.sa, bounds) if len(bounds) else np.zeros(0, np.int64)
-    out_u, out_s = [], []
+    piece, place, earlier = [], [], []
     by_size = np.argsort(size, kind="stable")
     for lo in range(0, len(by_size), 1 << 14):
         at = by_size[lo : lo + (1 << 14)]
@@ -191,11 +197,11 @@ def shard_matches(uid: np.ndarray, start: np.ndarray, pieces: list[bytes], windo
         length, low, _ = index.matching_statistics(lanes)
         lane, col = np.nonzero(length >= window)
         group = np.searchsorted(bounds, low[lane, col], side="right") - 1
-        earlier = earliest[group] < begin[at[lane]] + col
-        out_u.append(uid[order[at[lane[earlier]]]])
-        out_s.append(start[order[at[lane[earlier]]]] + col[earlier])
+        earlier.append(index.earliest[group] < begin[at[lane]] + col)
+        piece.append(order[at[lane]])
+        place.append(col)
     none = np.zeros(0, np.int64)
-    return np.concatenate(out_u) if out_u else none, np.concatenate(out_s) if out_s else none
+    return tuple(np.concatenate(x) if x else none for x in (piece, place, earlier))
 
 
 def _symbols() -> Callable[[str | None], np.ndarray]:
@@ -240,24 +246,44 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text of docs (doc_id, text).
 
     Each word covered by a window of 20 words that also starts earlier is
-    removed. Segments that share an anchor with a different segment go to the
-    shard of that anchor; each shard builds an FM-index of its segments and
-    streams them against it. A null text has no words; a doc_id that is null
-    comes last; rows that repeat a doc_id are documents of their own, the one
-    with the smaller text first. An empty table gives no rows.
+    removed. Anchors deal documents' segments out, so that equal windows meet
+    in one shard. A segment with a copy or with another content at its anchor
+    goes there, each content once; the shard builds an FM-index of them and
+    streams them against it. The intervals that matching statistics report are
+    removed from the segment itself where they start earlier, and from all
+    copies of it, which follow what is reported of their content (segments are
+    copies if two 64-bit hashes, of anchor and content, agree).
+
+    A null text has no words; a doc_id that is null comes last; rows that
+    repeat a doc_id are documents of their own, ordered as unique_ids says. An
+    empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = unique_ids(docs, docs.sparkSession)
-    facts = shared_segments(rows, _symbols, WINDOW, GRAM)
+    facts = shared_segments(rows, _symbols, WINDOW, GRAM, follow=True)
     pieces = residual(rows, facts, WINDOW, _take)
 
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        u, s = shard_matches(table.column("uid").to_numpy(), table.column("start").to_numpy(), table.column("data").to_pylist())
-        order = np.lexsort((s, u))
-        u, s = u[order], s[order]
-        at = np.flatnonzero(_starts_of_runs(u, s - np.arange(len(s))))
-        return pa.table({"uid": u[at], "start": s[at], "windows": np.diff(np.append(at, len(s)))})
+    def runs(piece: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece, first place and length of each run of places."""
+        order = np.lexsort((place, piece))
+        piece, place = piece[order], place[order]
+        at = np.flatnonzero(_starts_of_runs(piece, place - np.arange(len(place))))
+        return piece[at], place[at], np.diff(np.append(at, len(place)))
 
-    found = pieces.groupBy("bucket").applyInArrow(search, "uid long, start long, windows long")
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        uid, start, anchor, content = (table.column(c).to_numpy() for c in ("uid", "start", "anchor", "content"))
+        piece, place, earlier = shard_matches(uid, start, table.column("data").to_pylist())
+        p, s, n = runs(piece[earlier], place[earlier])
+        q, t, m = runs(piece, place)
+        own, all_ = pa.array(np.ones(len(p), bool)), pa.array(np.zeros(len(q), bool))
+        return pa.table({
+            "own": pa.chunked_array([own, all_]), "uid": np.concatenate([uid[p], uid[q]]), "anchor": np.concatenate([anchor[p], anchor[q]]), "content": np.concatenate([content[p], content[q]]),
+            "start": np.concatenate([start[p] + s, t]), "windows": np.concatenate([n, m])})
+
+    reported = save(pieces.groupBy("bucket").applyInArrow(search, "own boolean, uid long, anchor long, content long, start long, windows long"))
+    copies = facts.where(F.col("state") == COPY).select("uid", "anchor", "content", F.col("start").alias("base"))
+    followed = skew_join(copies, reported.where("not own").drop("own", "uid"), ["anchor", "content"]).select("uid", (F.col("base") + F.col("start")).alias("start"), "windows")
+    found = reported.where("own").select("uid", "start", "windows").unionByName(followed)
     schema = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_kept
     finish = _finish if with_kept else lambda *a: _finish(*a)[:3]
     return apply_removals(rows, facts, found, WINDOW, finish, schema)

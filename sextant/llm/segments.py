@@ -79,7 +79,10 @@ class Cutter:
 #: Segments of a block that lose their equals before anything is shuffled.
 BLOCK_SEGMENTS = 300_000
 
-FACTS = "uid long, anchor long, start long, windows long"
+FACTS = "uid long, anchor long, content long, start long, windows long, state int"
+#: States of a segment: its windows all start earlier too; it equals an earlier one, and what that one's content is reported to repeat, it repeats;
+#: it is the first of its content, and its anchor has other contents; it is the first of its content, has copies, and its anchor no other content.
+GONE, COPY, CONTESTED, COPIED = range(4)
 
 
 def _starts_of_runs(*keys: np.ndarray) -> np.ndarray:
@@ -131,20 +134,23 @@ def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-_SEGMENT = [np.uint64, np.uint64, np.int64, np.int64, np.uint16]
+_SEGMENT = [np.uint64, np.uint64, np.int64, np.int64, np.uint16, np.uint32]
 _FACT = [np.int64, np.int64, np.int64]
+_COPY = [np.int64, np.int64, np.uint16, np.uint64, np.uint64]
 
 
-def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None], np.ndarray]], window: int, gram: int) -> DataFrame:
-    """A saved table (uid, anchor, start, windows) about rows (uid, text).
+def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None], np.ndarray]], window: int, gram: int, follow: bool = False) -> DataFrame:
+    """A saved table (uid, anchor, content, start, windows, state) about rows (uid, text): segments whose windows may occur twice.
 
-    anchor null: these windows all start earlier, too. Otherwise the segment
-    is the first of its content, but its anchor has other contents, which may
-    share some of its windows. All other windows occur once.
+    Segments that have neither a copy nor an anchor with other contents are
+    left out: their windows occur once. Copies are settled here (GONE, with
+    intervals made one) or, with follow, only named (COPY): then somebody else
+    says what their content repeats, and its first segment is in the table
+    (COPIED) even if it is alone at its anchor.
 
-    Of equal segments in a block of documents, all but the first are settled
-    there; a block sends each content once, packed by buckets of anchors. So
-    however many copies a passage has, a bucket gets at most one a block.
+    A block of documents sends each content once, packed by buckets of
+    anchors, so however many copies a passage has, a bucket gets at most one a
+    block; copies within a block never meet.
     """
     spark = rows.sparkSession
     splits = rows.rdd.getNumPartitions()
@@ -157,8 +163,13 @@ def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None]
             a, c, s, k, u = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, first = first_of_equals(a, c, u, s)
             a, c, u, s, k = a[order], c[order], u[order], s[order], k[order]
-            gone = merged(u[~first], s[~first], s[~first] + k[~first])
-            bucket, blobs, kinds = [turn % buckets], [_pack(*gone)], [0]
+            again = ~first
+            if follow:
+                blob = _pack(u[again], s[again], k[again].astype(np.uint16), a[again], c[again])
+            else:
+                blob = _pack(*merged(u[again], s[again], s[again] + k[again]))
+            bucket, blobs, kinds = [turn % buckets], [blob], [0]
+            times = np.diff(np.append(np.flatnonzero(first), len(first))).astype(np.uint32)
             a, c, u, s, k = a[first], c[first], u[first], s[first], k[first].astype(np.uint16)
             where = (a % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
@@ -168,7 +179,7 @@ def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None]
                     at = order[edges[b] : edges[b + 1]]
                     bucket.append(b)
                     kinds.append(1)
-                    blobs.append(_pack(a[at], c[at], u[at], s[at], k[at]))
+                    blobs.append(_pack(a[at], c[at], u[at], s[at], k[at], times[at]))
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
         for batch in batches:
@@ -185,58 +196,71 @@ def shared_segments(rows: DataFrame, symbols: Callable[[], Callable[[str | None]
             yield closed(kept, turn)
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        parts, gone = [], []
+        parts, facts = [], []
+
+        def fact(u: np.ndarray, s: np.ndarray, k: np.ndarray, a: np.ndarray, c: np.ndarray, state: np.ndarray | int) -> None:
+            facts.append((u, a.view(np.int64), c.view(np.int64), s, k.astype(np.int64), np.broadcast_to(np.asarray(state, np.int32), u.shape)))
+
+        def gone(u: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+            fact(u, s, e - s, np.zeros(len(u), np.uint64), np.zeros(len(u), np.uint64), GONE)
+
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
             if kind:
                 parts.append(_unpack(blob, _SEGMENT))
+            elif follow:
+                fact(*_unpack(blob, _COPY), COPY)
             else:
-                u, s, e = _unpack(blob, _FACT)
-                gone.append((u, s, e - s))
-        facts = [(*g, np.zeros(len(g[0]), np.int64), np.ones(len(g[0]), bool)) for g in gone]
+                gone(*_unpack(blob, _FACT))
         if parts:
-            a, c, u, s, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, c, u, s, k, m = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, first = first_of_equals(a, c, u, s)
-            a, u, s, k = a[order], u[order], s[order], k[order].astype(np.int64)
-            gu, gs, ge = merged(u[~first], s[~first], s[~first] + k[~first])
-            facts.append((gu, gs, ge - gs, np.zeros(len(gu), np.int64), np.ones(len(gu), bool)))
-            a, u, s, k = a[first], u[first], s[first], k[first]
+            a, c, u, s, k, m = a[order], c[order], u[order], s[order], k[order].astype(np.int64), m[order].astype(np.int64)
+            again = ~first
+            if follow:
+                fact(u[again], s[again], k[again], a[again], c[again], COPY)
+            else:
+                gone(*merged(u[again], s[again], s[again] + k[again]))
+            copies = np.add.reduceat(m, np.flatnonzero(first)) > 1
+            a, c, u, s, k = a[first], c[first], u[first], s[first], k[first]
             begin = np.flatnonzero(_starts_of_runs(a))
-            many = np.repeat(np.diff(np.append(begin, len(a))) > 1, np.diff(np.append(begin, len(a))))
-            facts.append((u[many], s[many], k[many], a[many].view(np.int64), np.zeros(int(many.sum()), bool)))
-        u, s, k, a, none = (np.concatenate(x) for x in zip(*facts, strict=True))
-        return pa.table({"uid": pa.array(u), "anchor": pa.array(a, mask=none), "start": pa.array(s), "windows": pa.array(k)})
+            several = np.repeat(np.diff(np.append(begin, len(a))) > 1, np.diff(np.append(begin, len(a))))
+            at = several | copies if follow else several
+            fact(u[at], s[at], k[at], a[at], c[at], np.where(several[at], CONTESTED, COPIED))
+        u, a, c, s, k, state = (np.concatenate(x) for x in zip(*facts, strict=True))
+        return pa.table({"uid": pa.array(u), "anchor": pa.array(a), "content": pa.array(c), "start": pa.array(s), "windows": pa.array(k), "state": pa.array(state.astype(np.int32))})
 
     packed = rows.select("uid", "text").mapInArrow(lean(cut), "bucket int, kind int, blob binary")
     return save(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, FACTS))
 
 
+PIECES = "bucket int, anchor long, content long, uid long, start long, data binary"
+
+
 def residual(rows: DataFrame, facts: DataFrame, window: int, take: Callable[[], Callable[[str, list], list[bytes]]]) -> DataFrame:
-    """(bucket, anchor, uid, start, data): the contents of segments that facts leave open. take() gives a function of (text, [(start, end)])."""
+    """(bucket, anchor, content, uid, start, data): the symbols of the segments that facts have as contested or copied. take() gives a function of (text, [(start, end)])."""
     spark = rows.sparkSession
-    asked = facts.where("anchor is not null").groupBy("uid").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
+    asked = facts.where(F.col("state") >= CONTESTED).groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "start", "windows")).alias("asked"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = take()
         for batch in batches:
-            bucket, anchor, uid, start, data = [], [], [], [], []
+            out = []
             for u, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = cut(text, [(w["start"], w["start"] + w["windows"] + window - 1) for w in wanted])
-                for w, x in zip(wanted, found, strict=True):
-                    bucket.append(w["anchor"] % buckets)
-                    anchor.append(w["anchor"])
-                    uid.append(u)
-                    start.append(w["start"])
-                    data.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(anchor, pa.int64()), pa.array(uid, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], ["bucket", "anchor", "uid", "start", "data"])
+                out += [(w["anchor"] % buckets, w["anchor"], w["content"], u, w["start"], x) for w, x in zip(wanted, found, strict=True)]
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     texts = rows.select("uid", "text").join(asked.hint("shuffle_hash"), "uid")
-    return texts.select("uid", "text", "asked").mapInArrow(lean(pick), "bucket int, anchor long, uid long, start long, data binary")
+    return texts.select("uid", "text", "asked").mapInArrow(lean(pick), PIECES)
 
 
 def apply_removals(rows: DataFrame, facts: DataFrame, found: DataFrame, window: int, finish: Callable, schema: str) -> DataFrame:
     """finish(text, merged [start, end) of what to remove) for every row (uid, doc_id, text), with doc_id before what it gives."""
-    gone = facts.where("anchor is null").select("uid", "start", "windows").unionByName(found.select("uid", "start", "windows"))
+    gone = facts.where(F.col("state") == GONE).select("uid", "start", "windows").unionByName(found.select("uid", "start", "windows"))
     spans = gone.groupBy("uid").agg(F.collect_list(F.struct("start", F.col("windows"))).alias("gone"))
     names = [x.split()[0] for x in schema.split(", ")]
 

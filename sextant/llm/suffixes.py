@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import lean, save, unique_ids
+from sextant.llm.common import lean, save, small_batches, unique_ids
 from sextant.llm.segments import Cutter, _starts_of_runs, apply_removals, first_of_equals, merged, mix, residual, shared_segments
 
 WINDOW = 100
@@ -139,6 +139,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     smaller text first. What is kept need not be valid UTF-8. An empty table
     gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = unique_ids(docs, docs.sparkSession)
     facts = shared_segments(rows, _symbols, WINDOW, GRAM)
     pieces = residual(rows, facts, WINDOW, _take)

@@ -239,6 +239,24 @@ def test_mixing(docs, empty, spark):
     assert {r.source: r.target for r in mixing.targets(sizes).collect()} == {"a": 20.0, "b": 20.0, "c": 260 * 2 / 5 if 260 * 2 / 5 <= 160 else 160.0, None: 156.0}
 
 
+def test_mixing_takes_rows_one_by_one(spark):
+    words = lambda n: " ".join(f"w{j}" for j in range(n))
+    rows = [(None, words(50), "s") for _ in range(20)] + [(7, words(50) + f" x{i % 2}", "s") for i in range(20)] + [(i, words(90), "t") for i in range(10)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "q") for r in rows], "doc_id long, text string, source string, row int, __row int, __key int, h string")
+    got = mixing.mix(df, weights=(1, 3)).collect()
+    for s in "st":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+    assert sorted((r.doc_id or 0, r.h, r.taken) for r in got) == sorted((r.doc_id or 0, r.h, r.taken) for r in mixing.mix(df.repartition(5), weights=(1, 3)).collect())
+    out = mixing.repeated(df, weights=(1, 3))
+    assert out.columns == df.columns
+    taken = Counter(r.doc_id for r in out.collect())
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.repeats
+    assert taken == want
+
+
 def test_secrets(docs, empty):
     got = {r.doc_id: r for r in secrets.report(docs).collect()}
     i = next(i for i, t in corpus() if t and t.startswith("password"))

@@ -59,6 +59,8 @@ def symbols(path: str, content: str) -> list[dict]:
         found = _python_symbols(path, content)
     elif language == "json":
         found = _json_symbols(path, content)
+    elif language in ("xml", "yaml", "vue"):
+        found = {"xml": _xml_symbols, "yaml": _yaml_symbols, "vue": _vue_symbols}[language](content)
     else:
         found = _line_symbols(path, content, LINE_RULES.get(language, []))
     seen: dict[str, int] = {}
@@ -126,6 +128,122 @@ def _json_symbols(path: str, content: str) -> list[dict]:
     return [_plain(k, "constant", f"{k}: {type(v).__name__}", at(k), at(k)) for k, v in data.items()] if isinstance(data, dict) else []
 
 
+def _at(content: str, offset: int) -> int:
+    return content.count("\n", 0, offset) + 1
+
+
+def _xml_symbols(content: str) -> list[dict]:
+    """The root element, elements with an id, name or key, and scripts that are referred to."""
+    out, root = [], False
+    for m in re.finditer(r"<([A-Za-z_][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*/?>", content):
+        attrs = {k: a or b for k, a, b in re.findall(r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", m[2])}
+        line = _at(content, m.start())
+        if not root:
+            out.append(_plain(m[1], "type", f"<{m[1]}>", line, line))
+            root = True
+        for key, kind in (("id", "constant"), ("name", "constant"), ("key", "constant")):
+            if attrs.get(key):
+                out.append(_plain(f"{m[1]}.{attrs[key]}", kind, m[0][:120], line, line))
+                break
+        if m[1].lower() == "script" and attrs.get("src"):
+            out.append(_plain(attrs["src"], "function", m[0][:120], line, line))
+    return out
+
+
+def _yaml_symbols(content: str) -> list[dict]:
+    """Keys of the two upper levels: a key with keys under it is a type, another a constant."""
+    out, lines, above = [], content.split("\n"), None
+    for i, line in enumerate(lines):
+        if not (m := re.match(r"( {0,4})([A-Za-z_][\w.-]*):(?:\s+(.*))?$", line)):
+            continue
+        nested = not (m[3] or "").strip() and i + 1 < len(lines) and len(lines[i + 1]) - len(lines[i + 1].lstrip()) > len(m[1])
+        if not m[1]:
+            above = m[2] if nested else None
+        elif len(m[1]) > 2 or above is None:
+            continue
+        name = m[2] if not m[1] else f"{above}.{m[2]}"
+        out.append(_plain(name, "type" if nested else "constant", line.strip(), i + 1, i + 1))
+    return out
+
+
+def _vue_symbols(content: str) -> list[dict]:
+    """What the script of a component defines, at its lines in the file, and its template's components and named slots."""
+    out = []
+    for m in re.finditer(r"(?s)<script\b([^>]*)>(.*?)</script>", content):
+        language, above = "typescript" if re.search(r"""lang=["']ts""", m[1]) else "javascript", _at(content, m.start(2)) - 1
+        for s in _line_symbols("", m[2], LINE_RULES[language]):
+            out.append(s | {"line": s["line"] + above, "end_line": s["end_line"] + above})
+        for x in re.finditer(r"(?m)^\s*const\s+(\w+)\s*=\s*(ref|reactive|computed|defineProps|defineEmits)\b", m[2]):
+            if x[1] not in {s["name"] for s in out}:
+                line = _at(content, m.start(2) + x.start(1))
+                out.append(_plain(x[1], "constant", x[0].strip(), line, line))
+    if m := re.search(r"(?s)<template\b[^>]*>(.*)</template>", content):
+        for x in re.finditer(r"<([A-Z][A-Za-z0-9]*)\b|<slot\s+name=[\"']([^\"']+)", m[1]):
+            name, line = x[1] or f"slot:{x[2]}", _at(content, m.start(1) + x.start())
+            if name not in {s["name"] for s in out}:
+                out.append(_plain(name, "template", x[0], line, line))
+    return out
+
+
+def mask_template(text: str, engine: str = "jinja") -> str:
+    """The text with the engine's constructs blanked, every other character at its place; line ends stay."""
+    marks = {"jinja": r"\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\}", "erb": r"<%.*?%>", "blade": r"\{\{.*?\}\}|\{!!.*?!!\}|@\w+(?:\([^()]*\))?", "handlebars": r"\{\{.*?\}\}"}
+    return re.sub(marks[engine], lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.DOTALL)
+
+
+def template_symbols(text: str) -> list[tuple[str, str, int]]:
+    """(kind, name, line) of a template's macros, blocks, and what it extends or includes."""
+    rules = (("macro", r"\{%-?\s*macro\s+(\w+)"), ("block", r"\{%-?\s*block\s+(\w+)"), ("extends", r"""\{%-?\s*extends\s+['"]([^'"]+)"""), ("include", r"""\{%-?\s*include\s+['"]([^'"]+)"""))
+    found = [(m.start(), kind, m[1]) for kind, p in rules for m in re.finditer(p, text)]
+    return [(kind, name, _at(text, at)) for at, kind, name in sorted(found)]
+
+
+def split_front_matter(text: str) -> tuple[str, str]:
+    """What stands between the first two fences of dashes, and the rest; nothing and all without them."""
+    m = re.match(r"(?s)---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)", text)
+    return (m[1], m[2]) if m else ("", text)
+
+
+def path_aliases(settings: str) -> dict[str, str]:
+    """Aliases of a TypeScript project's settings, comments and last commas borne: pattern to its first target, under baseUrl."""
+    plain = re.sub(r",(\s*[}\]])", r"\1", re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", settings, flags=re.DOTALL))
+    try:
+        options = json.loads(plain).get("compilerOptions") or {}
+    except (ValueError, AttributeError):
+        return {}
+    base = (options.get("baseUrl") or ".").strip("./")
+    return {k: (f"{base}/" if base else "") + v[0].removeprefix("./") for k, v in (options.get("paths") or {}).items() if v}
+
+
+def namespaces(composer: str) -> dict[str, str]:
+    """Namespaces of a PHP project and the folders that they begin in."""
+    try:
+        data = json.loads(composer)
+    except ValueError:
+        return {}
+    found = {}
+    for part in ("autoload", "autoload-dev"):
+        for space, folder in ((data.get(part) or {}).get("psr-4") or {}).items():
+            found.setdefault(space, (folder[0] if isinstance(folder, list) else folder).rstrip("/") + "/")
+    return found
+
+
+def dbt_columns(schema: str) -> list[tuple[str, str, str]]:
+    """(model, column, description) of a dbt schema file, by its indentation."""
+    out, model, column = [], None, None
+    for line in schema.split("\n"):
+        if m := re.match(r"\s*- name:\s*(\S+)", line):
+            depth = len(line) - len(line.lstrip())
+            if depth <= 2:
+                model, column = m[1], None
+            else:
+                column = m[1]
+                out.append((model or "", column, ""))
+        elif (m := re.match(r"""\s*description:\s*["']?(.*?)["']?\s*$""", line)) and column is not None:
+            out[-1] = (*out[-1][:2], m[1])
+    return out
+
+
 def _line_symbols(path: str, content: str, rules: list[tuple[str, str]]) -> list[dict]:
     out, lines = [], content.split("\n")
     compiled = [(k, re.compile(p)) for k, p in rules]

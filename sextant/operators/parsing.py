@@ -111,3 +111,37 @@ def outline(found: DataFrame) -> DataFrame:
     """Symbols by file and line with their depth in the nesting."""
     depth = F.size(F.split("qualified_name", r"\.")) - 1
     return found.select("file", "line", "id", "name", "kind", depth.alias("depth"), F.row_number().over(Window.partitionBy("file").orderBy("line", "id")).alias("place"))
+
+
+def api_symbols(files: DataFrame) -> DataFrame:
+    """Operations and schemas of API documents as symbols: id, file, name, kind, signature."""
+    kind = F.when(F.col("kind") == "operation", "function").otherwise("class")
+    return api(files).select(F.concat("path", F.lit("::"), "name", F.lit("#"), kind).alias("id"), F.col("path").alias("file"), "name", kind.alias("kind"), F.col("summary").alias("signature"))
+
+
+def template_parts(files: DataFrame) -> DataFrame:
+    """path, kind, name, line of templates."""
+    return _each(files, lambda p, c: [{"path": p, "kind": k, "name": n, "line": i} for k, n, i in code.template_symbols(c)], "path string, kind string, name string, line int")
+
+
+def model_columns(files: DataFrame) -> DataFrame:
+    """model, column, description of dbt schema files."""
+    return _each(files, lambda p, c: [{"model": m, "column": k, "description": d} for m, k, d in code.dbt_columns(c)] if p.endswith((".yml", ".yaml")) else [], "model string, column string, description string")
+
+
+def cached(files: DataFrame, cache: DataFrame, parse: Callable[[DataFrame], DataFrame] = symbols) -> tuple[DataFrame, DataFrame]:
+    """Symbols of files by content: those that the cache (content_hash, file, ...) has, and what parsing the others gave, with their hashes.
+
+    Only files whose content the cache lacks are parsed, one of each content.
+    """
+    hashed = files.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    known = cache.join(hashed.select("content_hash").distinct(), "content_hash", "left_semi")
+    fresh = hashed.join(cache.select("content_hash").distinct(), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+    found = parse(fresh.select("path", "content")).join(fresh.select(F.col("path").alias("file"), "content_hash"), "file")
+    return known, found
+
+
+def blame(commit_files: DataFrame) -> DataFrame:
+    """file, author, ts: who changed a file last, of (file, sha, author, ts); ties to the larger sha."""
+    last = commit_files.groupBy("file").agg(F.max(F.struct("ts", "sha", "author")).alias("b"))
+    return last.select("file", "b.author", "b.ts")

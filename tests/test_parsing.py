@@ -133,7 +133,8 @@ def test_scan(spark, tmp_path):
 def test_predicates(spark):
     paths = ["src/a_test.py", "tests/x.py", "src/a.py", "web/a.spec.ts", "examples/x.py"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
-    got = df.select("p", predicates.is_test_path(F.col("p")), predicates.is_production_path(F.col("p")), predicates.path_matches(F.col("p"), "*.py")).collect()
+    assert [r[0] for r in df.select(predicates.is_test_path(F.col("p"))).collect()] == [True, False, False, False, False]  # no folder before tests/
+    got = df.select("p", predicates.is_test_path_of_change(F.col("p")), predicates.is_production_path(F.col("p")), predicates.path_matches(F.col("p"), "*.py")).collect()
     assert [tuple(r)[1:] for r in got] == [(True, True, True), (True, False, True), (False, True, True), (True, True, False), (False, False, True)]
     with pytest.raises(ValueError):
         predicates.check_criteria([{"axis": "nope", "op": "eq", "value": 1}])
@@ -141,3 +142,48 @@ def test_predicates(spark):
         predicates.check_criteria([{"axis": "name", "op": "~", "value": 1}])
     row = df.limit(1).select(predicates.byte_overlap(F.lit(0), F.lit(10), F.lit(5), F.lit(25)), predicates.tags_match(F.array(F.lit("a"), F.lit("b")), ["a"], ["c"]), predicates.row_summary(F.lit("sig"), F.lit("sig"))).first()
     assert tuple(row) == (0.5, True, "")
+
+
+def test_other_parsers():
+    xml = code.symbols("a.xml", '<root a="1">\n<bean id="x"/>\n<script src="m.js"></script>\n</root>')
+    assert [(s["name"], s["line"]) for s in xml] == [("root", 1), ("bean.x", 2), ("m.js", 3)]
+    yaml = code.symbols("a.yaml", "top:\n  inner: 1\n  deep:\n    x: 2\nflat: 3\n")
+    assert [(s["name"], s["kind"]) for s in yaml] == [("top", "type"), ("top.inner", "constant"), ("top.deep", "type"), ("flat", "constant")]
+    vue = code.symbols("A.vue", '<template>\n<Card/><slot name="foot"/>\n</template>\n<script setup lang="ts">\nconst n = ref(1)\nfunction go() {}\n</script>')
+    assert {(s["name"], s["line"]) for s in vue} == {("n", 5), ("go", 6), ("Card", 2), ("slot:foot", 2)}
+    masked = code.mask_template("a {{ b }}\n{% if c %}d{# e #}")
+    assert masked == "a " + " " * 7 + "\n" + " " * 10 + "d" + " " * 7 and code.mask_template("x<% y %>z", "erb") == "x       z"
+    assert code.template_symbols("{% extends 'b.html' %}\n{% block main %}{% endblock %}\n{% macro m(x) %}") == [("extends", "b.html", 1), ("block", "main", 2), ("macro", "m", 3)]
+    assert code.split_front_matter("---\na = 1\n---\n<p/>") == ("a = 1", "<p/>") and code.split_front_matter("<p/>") == ("", "<p/>")
+    assert code.path_aliases('{// c\n"compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["./app/*"],}}}') == {"@/*": "src/app/*"} and code.path_aliases("no") == {}
+    assert code.namespaces('{"autoload": {"psr-4": {"App\\\\": "src"}}}') == {"App\\": "src/"}
+    schema = "models:\n  - name: orders\n    columns:\n      - name: id\n        description: 'the key'\n      - name: n\n"
+    assert code.dbt_columns(schema) == [("orders", "id", "the key"), ("orders", "n", "")]
+
+
+def test_index_of_a_folder(spark, tmp_path):
+    from sextant.operators import indexing, storage
+
+    root = tmp_path / "proj"
+    for name, text in {"pkg/a.py": "from .b import g\ndef f(): return g()\n", "pkg/b.py": "def g(): return 1\n", "README.md": "# T\ntext\n", "tmp/x.py": "def x(): pass\n", "node_modules/m.js": "function m() {}\n", "yarn.lock": "x"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    found = {r.path: r.skip_reason for r in indexing.folder(spark, str(root), ignore="tmp/\n").collect()}
+    assert found["pkg/a.py"] is None and found["tmp/x.py"] == "ignored" and found["node_modules/m.js"] == "skipped_folder" and found["README.md"] == "unsupported"
+    assert [r.path for r in indexing.explicit(spark, str(root), ["pkg/b.py", "../etc/x", "/etc/y", "none.py"]).collect()] == ["pkg/b.py"]
+    out = indexing.index_content(spark, str(root), str(tmp_path / "index"), "r1")
+    assert {(r.src, r.dst) for r in out["edges"].collect()} == {("pkg/a.py", "pkg/b.py")}
+    assert {r.title for r in out["sections"].collect()} == {"T"}
+    indexing.index_content(spark, str(root), str(tmp_path / "index"), "r2", "code")
+    new = spark.createDataFrame([("pkg/b.py", "def g(): return 2\ndef h(): pass\n")], "path string, content string")
+    indexing.index_file(new, str(tmp_path / "index"), "r1")
+    names = lambda repo: {r.name for r in storage.load_index(spark, str(tmp_path / "index"), "symbols", repo).collect()}
+    assert names("r1") == {"f", "g", "h", "x"} and names("r2") == {"f", "g", "x"}
+    known, fresh = parsing.cached(new, storage.load_index(spark, str(tmp_path / "index"), "symbols", "r1").withColumn("content_hash", F.lit("other")))
+    assert known.count() == 0 and {r.name for r in fresh.collect()} == {"g", "h"}
+    storage.delete_index(spark, str(tmp_path / "index"), "r2", ["symbols"])
+    assert names("r2") == set()
+    storage.save_branch_delta(storage.branch_delta(spark.createDataFrame([("a", "1")], "file string, hash string"), spark.createDataFrame([("b", "2")], "file string, hash string")), str(tmp_path / "index"), "r1", "dev")
+    assert {(r.file, r.action) for r in storage.load_index(spark, str(tmp_path / "index"), "deltas").where("branch = 'dev'").collect()} == {("a", "delete"), ("b", "add")}
+    line = storage.encode_response({"n": 3, "ok": True, "s": "x", "f": 1.5, "none": None}, ["n", "ok", "s", "f", "none"])
+    assert storage.decode_response(line) == {"n": 3, "ok": True, "s": "x", "f": 1.5, "none": None}

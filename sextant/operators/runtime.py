@@ -170,9 +170,9 @@ def innermost(points: DataFrame, spans: DataFrame, by: str = "file", bucket: int
     return best.unionByName(last)
 
 
-def by_suffix(frames: DataFrame, files: DataFrame, most: int = 8) -> DataFrame:
-    """frame, file: the file whose path ends like a frame's, by the longest common suffix of up to `most` segments, if there is just one."""
-    suffixes = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.size(F.split(c, "/")), F.lit(most))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(F.split(c, "/"), -n, n), "/").alias("suffix")))
+def by_suffix(frames: DataFrame, files: DataFrame) -> DataFrame:
+    """frame, file: the file whose path ends like a frame's, by the longest common suffix of whole segments, if there is just one."""
+    suffixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(F.split(c, "/"), -n, n), "/").alias("suffix")))
     a = frames.select("frame", F.inline(suffixes(F.col("frame"))))
     b = files.select("file", F.inline(suffixes(F.col("file"))))
     hits = a.join(b, ["n", "suffix"]).groupBy("frame", "n").agg(F.count(F.lit(1)).alias("k"), F.min("file").alias("file"))

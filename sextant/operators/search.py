@@ -92,22 +92,32 @@ def drift(before: DataFrame, after: DataFrame, threshold: float = 0.05) -> DataF
     return out.withColumn("alarm", F.col("max_drift") > threshold)
 
 
-def pack(candidates: DataFrame, budget: int, per_file: int = 3, most: int = 1000) -> DataFrame:
-    """Greedy packing of (id, file, score, tokens) under a token budget: best first, skipping what does not fit or would be a file's fourth.
+def pack(candidates: DataFrame, budget: int, per_file: int = 3, chunk: int = 1000) -> DataFrame:
+    """place, id, file, tokens: greedy packing of (id, file, score, tokens) under a token budget: best first, skipping what costs nothing, does not fit or would be a file's fourth.
 
-    The choice depends on what was taken before, so it is a fold over the
-    best `most` candidates, which a top-k bounds.
+    The choice depends on what was taken before, so it is a walk; it takes the
+    best `chunk` of what can still fit at a time, of which the first always
+    does, until nothing is left that could. What is taken costs a token each,
+    so no more than `budget` rows reach the driver.
     """
-    rows = candidates.orderBy(F.desc("score"), "id").limit(most)
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "file", F.col("tokens").cast("long").alias("tokens"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<id: bigint, file: string, tokens: bigint>>)").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        room = (acc["used"] + x["tokens"] <= budget) & (F.size(F.filter(acc["kept"], lambda y: y["file"] == x["file"])) < per_file)
-        taken = F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["id"].alias("id"), x["file"].alias("file"), x["tokens"].alias("tokens")))).alias("kept"))
-        return F.when(room, taken).otherwise(acc)
-
-    return rows.agg(F.aggregate(listed, start, step).alias("p")).select(F.posexplode("p.kept").alias("place", "k")).select("place", "k.id", "k.file", "k.tokens")
+    spark, rows = candidates.sparkSession, candidates.select("id", "file", "score", F.col("tokens").cast("long").alias("tokens")).where("tokens > 0")
+    taken, per, left, last = [], {}, budget, None
+    while left > 0:
+        open_ = rows.where(F.col("tokens") <= left)
+        if last is not None:
+            open_ = open_.where((F.col("score") < last.score) | ((F.col("score") == last.score) & (F.col("id") > last.id)))
+        if full := [f for f, n in per.items() if n >= per_file]:
+            open_ = open_.where(F.col("file").isNull() | ~F.col("file").isin(full))
+        best = open_.orderBy(F.desc("score"), "id").limit(chunk).collect()
+        for r in best:
+            if r.tokens <= left and per.get(r.file, 0) < per_file:
+                taken.append((len(taken), r.id, r.file, r.tokens))
+                left, per[r.file] = left - r.tokens, per.get(r.file, 0) + 1
+        if len(best) < chunk:
+            break
+        last = best[-1]
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in ("id", "file")}
+    return spark.createDataFrame(taken, f"place int, id {kinds['id']}, file {kinds['file']}, tokens long")
 
 
 def context_lines(lines: DataFrame, pattern: str, around: int = 1, limit: int = 20) -> DataFrame:
@@ -135,20 +145,30 @@ def shingle_pairs(tokens: DataFrame, k: int = 5, least: float = 0.85, min_tokens
     """a, b, jaccard of (id, words) by distinct k-word shingles, sets at most twice the other's size, at or over `least`.
 
     Equal word lists are joined by their hash first; of each only the first
-    meets other texts, so copies do not multiply pairs. Of a set of n hashes
-    in order, two that are alike enough share one of the first n - ceil(least
-    * n) + 1, so only those are exploded and joined; candidates are confirmed
-    on whole sets.
+    meets other texts, so copies do not multiply pairs. Hashes stand in the
+    order of their rarity, so a line that many texts share comes last. Of two
+    sets that are alike enough, one shares a hash of its first n - ceil(least *
+    n) + 1 with the other's, the smaller even of fewer, and enough can follow
+    it; only those are joined, and candidates are confirmed on whole sets.
     """
     sized = tokens.where(F.size("words") >= min_tokens).withColumn("key", F.sha2(F.array_join("words", " "), 256))
     first = sized.groupBy("key").agg(F.min("id").alias("rep"))
     same = sized.join(first, "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     reps = sized.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    shingles = let(F.col("words"), lambda w: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k))))))
+    shingles = let(F.col("words"), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))))
     sets = cut(reps.select("id", shingles.alias("s")).withColumn("n", F.size("s")))
-    prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int"))).alias("h"))
-    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    each = sets.select("id", "n", F.explode("s").alias("h"))
+    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = each.join(held, "h").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).withColumn("skip", F.col("n") - F.size("t"))
+    up = lambda share: F.ceil(F.col("n") * share - 1e-9)
+    first_ones = F.slice("t", 1, F.greatest(F.lit(0), F.col("n") - up(least) + 1 - F.col("skip")).cast("int"))
+    prefix = cut(listed.select("id", "n", "skip", F.posexplode(first_ones).alias("i", "x")).select("id", "n", (F.col("skip") + F.col("i")).alias("p"), F.col("x.h").alias("h")))
+    part = 2 * least / (1 + least)
+    low = prefix.where(F.col("p") < F.col("n") - up(part) + 1).select("h", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("p").alias("pi"))
+    high = prefix.select("h", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("p").alias("pj"))
+    enough = F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj")) >= (F.col("ni") + F.col("nj")) * (part / 2) - 1e-9
+    met = low.join(high, (low.h == high.h) & (F.struct("ni", "i") < F.struct("nj", "j")) & (F.col("ni") >= F.col("nj") * F.lit(least)) & enough)
+    pairs = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     side = lambda key, name: sets.select(F.col("id").alias(key), F.col("s").alias(name))
     both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").withColumn("both", F.size(F.array_intersect("p", "q")))
     near = both.withColumn("jaccard", F.col("both") / (F.size("p") + F.size("q") - F.col("both"))).where(F.col("jaccard") >= least)

@@ -33,10 +33,10 @@ def near(texts):
 
 
 def repeats(docs):
-    """How often each (id, size, source) is taken, by sorting hashes."""
+    """How often each (id, size, source, text) is taken, by sorting hashes."""
     per = {}
-    for i, size, source in docs:
-        per.setdefault(source, []).append((int(hashlib.md5(f"{i}:{source}".encode()).hexdigest()[:15], 16), size, i))
+    for i, size, source, text in docs:
+        per.setdefault(source, []).append((int(hashlib.md5(f"{i}:{source}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:15], 16), size, i))
     names = sorted(per)
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
     total = {s: sum(x[1] for x in per[s]) for s in names}
@@ -75,7 +75,7 @@ def test_run_matches_brute_force(spark):
     kept = near(good)
     grammar = secrets.learn(docs.where(docs.doc_id.isin(sorted(kept))))
     texts = {i: secrets.redact(good[i], secrets.find(good[i], grammar)) for i in kept}
-    times = repeats([(i, len(t.encode().split()), rows[i].source) for i, t in texts.items()])
+    times = repeats([(i, len(t.encode().split()), rows[i].source, t) for i, t in texts.items()])
     path = public_tokenizers.path(corpus_pipeline.RANKS)
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     want = Counter()

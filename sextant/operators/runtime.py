@@ -151,23 +151,42 @@ def stack_json(lines: DataFrame) -> DataFrame:
     return kept.select("id", F.when(level.isNotNull(), severity(level)).otherwise(told).alias("severity"), j("ts", "timestamp", "time").alias("ts"), j("message").alias("message"), j("stack_trace", "stack", "exception").alias("text")).where("trim(text) <> ''")
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: str = "file", bucket: int = 64) -> DataFrame:
-    """Each point (point_id, by, line) with the narrowest span (symbol_id, by, start, end) around it.
-
-    Lines are cut into buckets so that the range join is an equality join. A
-    null end is open: such a span is wider than any closed one, and of open
-    ones the last that starts at or before the point is the narrowest, found by
-    a running maximum over points and spans of the same `by` in one sort.
+def innermost(points: DataFrame, spans: DataFrame, by: str = "file") -> DataFrame:
+    """Each point (point_id, by, line) with the narrowest span (symbol_id, by, start, end) around it, ties to the smaller symbol.
+
+    A closed span is dealt to the few cells that make it up, of 1, 2, 4, ...
+    lines, each at a multiple of its size. A cell keeps only its narrowest
+    span, and a line asks the one cell of each size that it is in, so no line
+    meets all spans around it. A null end is open: such a span is wider than
+    any closed one, and of open ones the last that starts at or before the
+    point is the narrowest, found by a running maximum over lines and spans of
+    the same `by` in one sort. Points count by their lines until the end.
     """
-    closed = spans.where("end is not null").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    joined = points.withColumn("cell", F.floor(F.col("line") / bucket)).join(closed, [by, "cell"]).where("line between start and end")
-    best = joined.groupBy("point_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "symbol_id")).alias("b")).select("point_id", F.col("b.symbol_id").alias("symbol_id"))
-    left = points.join(best, "point_id", "left_anti").select("point_id", by, F.col("line").cast("long").alias("at"), F.lit(1).alias("later"), F.lit(None).cast(spans.schema["symbol_id"].dataType).alias("symbol_id"))
-    open_ = spans.where("end is null").groupBy(by, F.col("start").cast("long").alias("at")).agg(F.min("symbol_id").alias("symbol_id"))
-    marks = open_.select(F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), by, "at", F.lit(0).alias("later"), "symbol_id")
+    k, start, end = F.col("size"), F.col("start").cast("long"), F.col("end").cast("long")
+    bits = F.length(F.bin(end - start + 1))
+    closed = spans.where((end >= start) & F.col(by).isNotNull())
+    narrowest = closed.groupBy(by, start.alias("start"), end.alias("end")).agg(F.min("symbol_id").alias("symbol_id"))
+    ends = narrowest.withColumn("size", F.explode(F.sequence(F.lit(0), bits - 1))).withColumns({"first": -_cell(-F.col("start"), k), "past": _cell(F.col("end") + 1, k)}).where("first < past")
+    odd = lambda c: F.when(F.pmod(F.col(c), F.lit(2)) == 1, F.col(c) - F.lit(int(c == "past")))
+    pieces = ends.select(by, "size", F.lit(0).cast("long").alias("rank"), (F.col("end") - F.col("start")).alias("width"), "symbol_id", F.explode(F.array_compact(F.array(odd("first"), odd("past")))).alias("cell"))
+    cells = pieces.groupBy(by, "size", "cell").agg(F.min(F.struct("rank", "width", "symbol_id")).alias("b"))
+    lines = points.where(F.col(by).isNotNull()).select(by, F.col("line").cast("long").alias("at")).where("at is not null").distinct()
+    asked = lines.crossJoin(F.broadcast(closed.agg(F.max(bits).alias("sizes")))).select(by, "at", F.explode(F.sequence(F.lit(0), F.col("sizes") - 1)).alias("size")).withColumn("cell", _cell(F.col("at"), k))
+    best = asked.join(cells.hint("merge"), [by, "size", "cell"]).groupBy(by, "at").agg(F.min("b").alias("b"))
+
+    none = F.lit(None).cast(cells.schema["b"].dataType)
+    last = F.struct(F.lit(1).cast("long").alias("rank"), (-start).alias("width"), F.col("symbol_id"))
+    marks = spans.where(F.col("end").isNull() & F.col(by).isNotNull()).groupBy(by, start.alias("at")).agg(F.min(last).alias("b")).select(by, "at", F.lit(0).alias("later"), "b")
+    left = lines.join(best.hint("merge"), [by, "at"], "left_anti").select(by, "at", F.lit(1).alias("later"), none.alias("b"))
     before = Window.partitionBy(by).orderBy("at", "later").rowsBetween(Window.unboundedPreceding, 0)
-    last = marks.unionByName(left).withColumn("symbol_id", F.last("symbol_id", ignorenulls=True).over(before)).where("later = 1 and symbol_id is not null").select("point_id", "symbol_id")
-    return best.unionByName(last)
+    open_ = marks.unionByName(left).withColumn("b", F.last("b", ignorenulls=True).over(before)).where("later = 1 and b is not null").select(by, "at", "b")
+    found = points.select("point_id", by, F.col("line").cast("long").alias("at")).join(best.unionByName(open_).hint("merge"), [by, "at"])
+    return found.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.symbol_id").alias("symbol_id"))
+
+
+def _cell(line: Column, size: Column) -> Column:
+    """The cell of 2 ** size lines that a line is in."""
+    return F.call_function("shiftright", line, size)
 
 
 def by_suffix(frames: DataFrame, files: DataFrame) -> DataFrame:

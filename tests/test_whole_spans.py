@@ -27,3 +27,10 @@ def test_innermost_of_spans_over_one_another(spark):
     points = spark.range(30_000).selectExpr("id point_id", "'f' file", "id % 7 line")
     got = runtime.innermost(points, spans).groupBy("symbol_id").count().collect()
     assert [tuple(r) for r in got] == [(0, 30_000)]
+
+
+def test_one_row_a_point_and_no_match_without_a_file(spark):
+    spans = [(7, "f", 1, None), (8, "f", 6, None), (9, "f", 2, 3), (5, None, 1, None)]
+    points = [(1, "f", 5), (1, "f", 9), (2, "f", 2), (2, "f", 9), (3, None, 4), (4, "f", None), (5, "f", 0)]
+    got = runtime.innermost(spark.createDataFrame(points, "point_id long, file string, line long"), spark.createDataFrame(spans, "symbol_id long, file string, start long, end long")).collect()
+    assert sorted((r.point_id, r.symbol_id) for r in got) == [(1, 8), (2, 9)]

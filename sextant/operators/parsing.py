@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import code, markup
+from sextant.operators.graph import cut
 from sextant.operators.predicates import is_binary, is_secret_path
 
 SYMBOLS = ("id string, file string, language string, name string, qualified_name string, kind string, signature string, docstring string, line int, end_line int, parent string, decorators array<string>, "
            "call_references array<string>, cyclomatic int, max_nesting int, param_count int")
+IMPORTS = "src string, specifier string, names array<string>, is_re_export boolean, re_export_kind string"
 SECTIONS = "id string, doc_path string, title string, level int, parent_id string, content string, byte_start long, byte_end long, content_hash string, code_blocks array<string>, tags array<string>"
 
 
@@ -24,13 +26,19 @@ def scan(spark: SparkSession, root: str, max_bytes: int = 500_000, pattern: str
     return raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length"), reason.alias("skip_reason"))
 
 
+def _names(schema: str) -> list[str]:
+    return [x.strip().split(" ")[0] for x in schema.split(", ")]
+
+
 def _each(files: DataFrame, parse: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
-    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+    names = _names(schema)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [r for p, c in zip(part["path"], part["content"], strict=True) for r in parse(p, c or "")]
-            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+            for i in range(0, len(part), 1000):  # what is found in a file can be much more than the file
+                some = part.iloc[i : i + 1000]
+                rows = [r for p, c in zip(some["path"], some["content"], strict=True) for r in parse(p, c or "")]
+                yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -40,7 +48,18 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    return _each(files, lambda p, c: [x | {"src": p} for x in code.imports(p, c)], "src string, specifier string, names array<string>, is_re_export boolean, re_export_kind string")
+    return _each(files, lambda p, c: [x | {"src": p} for x in code.imports(p, c)], IMPORTS)
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """symbols and imports of files, each file parsed once: written down, for operators that read them several times."""
+
+    def both(path: str, content: str) -> list[dict]:
+        return [*code.symbols(path, content), *(x | {"src": path} for x in code.imports(path, content))]
+
+    found = cut(_each(files, both, f"{SYMBOLS}, {IMPORTS}"))
+    pick = lambda test, schema: found.where(test).select(*_names(schema))
+    return pick("id is not null", SYMBOLS), pick("src is not null", IMPORTS)
 
 
 def sections(files: DataFrame) -> DataFrame:
@@ -79,26 +98,34 @@ def plain_sql(files: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """src, dst: each import resolved to the file that its best candidate path names; none of a file to itself."""
+    """src, dst: each import resolved to the file that its best candidate path names; none of a file to itself.
+
+    Candidates follow from the importer's folder and from whether it is
+    Python, so what many files of a folder import is tried once.
+    """
+    key = ["folder", "python", "specifier"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(s, x, i, c) for s, x in zip(part["src"], part["specifier"], strict=True) for i, c in enumerate(dict.fromkeys(code.candidates(x, s, aliases)))]
-            yield pd.DataFrame(rows, columns=["src", "specifier", "priority", "dst"])
+            rows = [(*k, i, c) for *k, s in part[[*key, "src"]].itertuples(index=False) for i, c in enumerate(dict.fromkeys(code.candidates(k[2], s, aliases)))]
+            yield pd.DataFrame(rows, columns=[*key, "priority", "dst"])
 
-    tried = found.select("src", "specifier").distinct().mapInPandas(run, "src string, specifier string, priority int, dst string")
-    hits = tried.join(files.select(F.col("path").alias("dst")), "dst").groupBy("src", "specifier").agg(F.min(F.struct("priority", "dst")).alias("b"))
-    return hits.select("src", F.col("b.dst").alias("dst")).where("src <> dst").distinct()
+    asked = found.select("src", F.regexp_extract("src", "(?s)^(.*/)", 1).alias("folder"), F.col("src").endswith(".py").alias("python"), "specifier").distinct()
+    tried = asked.groupBy(*key).agg(F.min("src").alias("src")).mapInPandas(run, "folder string, python boolean, specifier string, priority int, dst string")
+    hits = tried.join(files.select(F.col("path").alias("dst")).hint("merge"), "dst").groupBy(*key).agg(F.min(F.struct("priority", "dst")).alias("b"))
+    return asked.join(hits.hint("merge"), key).select("src", F.col("b.dst").alias("dst")).where("src <> dst").distinct()
 
 
 def calls(found: DataFrame, linked: DataFrame) -> DataFrame:
-    """caller, callee, resolution: names called, in the same file (ast_resolved) or in one that it imports (ast_inferred)."""
+    """caller, callee, resolution: names called, in the same file (ast_resolved) or in one that it imports (ast_inferred).
+
+    A name is looked up with the file it must be in, so that one which many files have meets only those.
+    """
     named = found.select(F.col("id").alias("caller"), F.col("file").alias("src"), F.explode("call_references").alias("name"))
-    targets = found.where("kind in ('function', 'method', 'class')").select(F.col("id").alias("callee"), F.col("file").alias("dst"), "name")
-    both = named.join(targets, "name").where("caller <> callee")
-    same = both.where("src = dst").select("caller", "callee", F.lit("ast_resolved").alias("resolution"))
-    other = both.where("src <> dst").join(linked, ["src", "dst"]).select("caller", "callee", F.lit("ast_inferred").alias("resolution"))
-    return same.unionByName(other).distinct()
+    targets = found.where("kind in ('function', 'method', 'class')").select(F.col("id").alias("callee"), F.col("file").alias("dst"), "name").hint("merge")
+    same = named.withColumn("dst", F.col("src")).join(targets, ["dst", "name"]).select("caller", "callee", F.lit("ast_resolved").alias("resolution"))
+    other = named.join(linked.where("src <> dst").hint("merge"), "src").join(targets, ["dst", "name"]).select("caller", "callee", F.lit("ast_inferred").alias("resolution"))
+    return same.unionByName(other).where("caller <> callee").distinct()
 
 
 def class_hierarchy(found: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ _EDGES = f"""(select {_PATH} src, {_BACK} dst from {_PART} where p_partkey > 16
 union all select 'tests/test_m' || p_partkey || '.py', {_PATH} from {_TESTS})"""
 
 
+def _parsed(spark, sf):
+    """Symbols and edges of the modules, which are parsed once."""
+    files = generated.modules(spark, sf)
+    symbols, imports = parsing.parsed(files)
+    return symbols, parsing.edges(imports, files)
+
+
 def _edges(spark, sf):
     files = generated.modules(spark, sf)
     return parsing.edges(parsing.imports(files), files)
@@ -53,7 +60,7 @@ def parsed_import_edges(spark, sf):
 union all select {_PATH} || '::C' || p_partkey || '.run#method', {_BACK} || '::f' || (p_partkey - 7) || '#function', 'ast_inferred' from {_PART} where p_partkey > 16
 union all select 'tests/test_m' || p_partkey || '.py::test_f' || p_partkey || '#function', {_PATH} || '::f' || p_partkey || '#function', 'ast_inferred' from {_TESTS}""")
 def parsed_call_edges(spark, sf):
-    return parsing.calls(parsing.symbols(generated.modules(spark, sf)), _edges(spark, sf))
+    return parsing.calls(*_parsed(spark, sf))
 
 
 @query(f"select 'C' || p_partkey as class, b base from {_PART}, (values ('K'), ('Mixin')) x(b)")

@@ -49,10 +49,13 @@ def test_f{p}():
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, content: a Python module a part in one of seven packages, and a test of every fiftieth."""
+    """path, content: a Python module a part in one of seven packages, and a test of every fiftieth.
+
+    Parts are dealt out first: a few MB of rows are many files, and a task that parses them is long for its input.
+    """
     p, s = F.col("p_partkey"), F.col("p_size")
     link = F.when(p % 10 == 9, "import sys").otherwise(_text("from pkg{m}.m{n} import C{n} as K", m=(p + 1) % 7, n=p + 1))
-    part = _parts(spark, sf_dir)
+    part = _parts(spark, sf_dir).select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     code = part.select(_text("pkg{m}/m{p}.py", m=p % 7, p=p).alias("path"), _text(PYTHON, p=p, s=s, back=p - 7, link=link).alias("content"))
     tests = part.where("p_partkey % 50 = 0").select(_text("tests/test_m{p}.py", p=p).alias("path"), _text(TEST, m=p % 7, p=p).alias("content"))
     return code.unionByName(tests)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.operators.graph import bfs
+from sextant.operators.graph import bfs, cut
 from sextant.operators.parsing import _each
 from sextant.operators.predicates import classify, is_test_path, jaccard
 
@@ -41,10 +41,11 @@ def never_called(symbols: DataFrame) -> DataFrame:
 
 def dead_code(symbols: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """id, confidence: the share of three signs against a symbol: its file is unreachable from entries, its name is never called, its file is never imported."""
+    edges = cut(edges.select("src", "dst"))
     reached = bfs(edges, entries).select(F.col("node").alias("file"), F.lit(0).alias("s1"))
     called = symbols.select(F.explode("call_references").alias("name")).distinct().withColumn("s2", F.lit(0))
     imported = edges.select(F.col("dst").alias("file")).distinct().withColumn("s3", F.lit(0))
-    out = symbols.where("kind in ('function', 'method', 'class')").join(reached, "file", "left").join(called, "name", "left").join(imported, "file", "left").na.fill(1, ["s1", "s2", "s3"])
+    out = symbols.where("kind in ('function', 'method', 'class')").join(reached.hint("merge"), "file", "left").join(imported.hint("merge"), "file", "left").join(called.hint("merge"), "name", "left").na.fill(1, ["s1", "s2", "s3"])
     return out.select("id", F.round((F.col("s1") + F.col("s2") + F.col("s3")) / 3, 6).alias("confidence"))
 
 

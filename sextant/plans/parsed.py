@@ -79,7 +79,7 @@ select f || '::C' || p_partkey || '#class' id, round((s1 + 1 + s3) / 3, 6) confi
 union all select 'tests/test_m' || p_partkey || '.py::test_f' || p_partkey || '#function', 1.0 from {_TESTS}""")
 def parsed_dead_code(spark, sf):
     start = spark.createDataFrame([("pkg3/m10.py",)], "node string")
-    return code_analysis.dead_code(parsing.symbols(generated.modules(spark, sf)), _edges(spark, sf), start)
+    return code_analysis.dead_code(*_parsed(spark, sf), start)
 
 
 @query(f"""select {_PATH} || '::C' || p_partkey || '.run#method' id, case when p_partkey % 50 = 0 then 0.7 else 1.0 end confidence from {_PART} union all select {_PATH} || '::f' || p_partkey || '#function', 1.0 from {_PART} where p_partkey % 50 <> 0""")

@@ -36,7 +36,7 @@ def cross_repo_importers(imports: DataFrame, packages: DataFrame) -> DataFrame:
 def never_called(symbols: DataFrame) -> DataFrame:
     """Functions and methods outside tests whose name no symbol calls."""
     called = symbols.select(F.explode("call_references").alias("name")).distinct()
-    return symbols.where("kind in ('function', 'method')").where(~is_test_path(F.col("file"))).join(called, "name", "left_anti").select("id", "name", "file")
+    return symbols.where("kind in ('function', 'method')").where(~is_test_path(F.col("file"))).join(called.hint("merge"), "name", "left_anti").select("id", "name", "file")
 
 
 def dead_code(symbols: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.operators import code_analysis, docs, parsing, runtime
+from sextant.operators.graph import cut
 from sextant.plans.registry import registry
 from sextant.sources import generated
 
@@ -89,7 +90,8 @@ def parsed_untested(spark, sf):
 
 @query(f"select {_PATH} || '::C' || p_partkey || '.run#method' id from {_PART}")
 def parsed_never_called(spark, sf):
-    return code_analysis.never_called(parsing.symbols(generated.modules(spark, sf))).select("id")
+    symbols = cut(parsing.symbols(generated.modules(spark, sf)).select("id", "name", "file", "kind", "call_references"))
+    return code_analysis.never_called(symbols).select("id")
 
 
 _SMELL_SQL = f"""with x(k, preset, line) as (values (0, 'reassigned_param', 2), (1, 'bare_except', 3), (1, 'empty_catch', 3), (2, 'hardcoded_secret', 1), (3, 'eval_exec', 1), (4, 'nested_loops', 3), (5, 'deeply_nested', 5), (6, 'magic_number', 1))

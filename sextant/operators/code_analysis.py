@@ -54,8 +54,8 @@ def untested(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     tests = symbols.where(is_test_path(F.col("file")))
     called = tests.select(F.explode("call_references").alias("name")).distinct()
     touched = edges.where(is_test_path(F.col("src"))).select(F.col("dst").alias("file")).distinct().withColumn("seen", F.lit(True))
-    rest = symbols.where("kind in ('function', 'method')").where(~is_test_path(F.col("file"))).join(called, "name", "left_anti")
-    return rest.join(touched, "file", "left").select("id", F.when(F.col("seen"), 0.7).otherwise(1.0).alias("confidence"))
+    rest = symbols.where("kind in ('function', 'method')").where(~is_test_path(F.col("file"))).join(called.hint("merge"), "name", "left_anti")
+    return rest.join(touched.hint("merge"), "file", "left").select("id", F.when(F.col("seen"), 0.7).otherwise(1.0).alias("confidence"))
 
 
 def similar(symbols: DataFrame, least: float = 0.8, most_shared: int = 200) -> DataFrame:

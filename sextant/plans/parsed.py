@@ -85,7 +85,7 @@ def parsed_dead_code(spark, sf):
 
 @query(f"""select {_PATH} || '::C' || p_partkey || '.run#method' id, case when p_partkey % 50 = 0 then 0.7 else 1.0 end confidence from {_PART} union all select {_PATH} || '::f' || p_partkey || '#function', 1.0 from {_PART} where p_partkey % 50 <> 0""")
 def parsed_untested(spark, sf):
-    return code_analysis.untested(parsing.symbols(generated.modules(spark, sf)), _edges(spark, sf))
+    return code_analysis.untested(*_parsed(spark, sf))
 
 
 @query(f"select {_PATH} || '::C' || p_partkey || '.run#method' id from {_PART}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.operators.graph import bfs, cut
 from sextant.operators.predicates import path_matches
+from sextant.operators.graph import cut
 from sextant.operators.runtime import innermost
 
 # What a decorator looks like that makes a symbol an entry point, by kind, the first that matches; files whose functions are.
@@ -69,14 +70,17 @@ def text_callers(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """caller, callee: symbols whose lines (path, line, text) call a name, where no call references are known.
 
     A call is the name before a bracket, in a symbol's lines, not where a
-    definition has it; the caller is the innermost symbol around the line.
+    definition has it; the caller is the innermost symbol around the line. Both
+    tables grow with the files, so neither is broadcast, and the calls that
+    name a symbol are written down, as they are read twice.
     """
     found = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<!\bdef )(?<!\bclass )(?<!\bfunc )(?<!\bfunction )\b([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("name"), "text")
-    named = found.join(symbols.select(F.col("id").alias("callee"), "name", F.col("file").alias("home"), F.col("line").alias("at")), "name").where("not (path = home and line = at)")
-    points = named.select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("point_id"), F.col("path").alias("file"), "line").distinct()
+    named = found.join(symbols.select(F.col("id").alias("callee"), "name", F.col("file").alias("home"), F.col("line").alias("at")).hint("merge"), "name").where("not (path = home and line = at)")
+    named = cut(named.select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("point_id"), F.col("path").alias("file"), "line", "callee"))
+    points = named.select("point_id", "file", "line").distinct()
     spans = symbols.select(F.col("id").alias("symbol_id"), "file", F.col("line").alias("start"), F.col("end_line").alias("end"))
     within = innermost(points, spans)
-    out = named.withColumn("point_id", F.concat_ws(":", "path", F.col("line").cast("string"))).join(within, "point_id")
+    out = named.join(within.hint("merge"), "point_id")
     return out.select(F.col("symbol_id").alias("caller"), "callee").where("caller <> callee").distinct()
 
 

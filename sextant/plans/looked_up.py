@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.operators import code_analysis, indexing, lookups, parsing
+from sextant.operators.graph import cut
 from sextant.plans.registry import registry
 from sextant.plans.symbols import SYMBOLS
 from sextant.sources import generated, tables
@@ -74,7 +75,7 @@ union all select 'tests/test_m' || p || '.py::test_f' || p || '#function', {_PAT
 def text_callers(spark, sf):
     files = generated.modules(spark, sf)
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
-    return lookups.text_callers(lines, parsing.symbols(files))
+    return lookups.text_callers(lines, cut(parsing.symbols(files).select("id", "name", "file", "line", "end_line")))
 
 
 @query(f"""with c as {_STEPS}, d as (select p_partkey method, (p_partkey * 3 + 1) % 1000003 + 1000000 implementation from part where p_partkey % 4 = 0) select caller, callee, 'direct' resolution from c union select caller, implementation, 'dispatched' from c join d on callee = method""")

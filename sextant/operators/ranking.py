@@ -189,10 +189,10 @@ def descendants(bases: DataFrame, root: str, depth: int = 20) -> DataFrame:
 
 def context_bundle(symbols: DataFrame, wanted: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
     """id, part, what: for each wanted id its definition, the imports of its file and its callers, in this order."""
-    own = symbols.join(wanted, "id", "left_semi")
+    own = symbols.join(wanted.hint("merge"), "id", "left_semi")
     body = own.select("id", F.lit(1).alias("part"), F.col("signature").alias("what"))
-    used = own.select("id", F.col("file").alias("src")).join(imports, "src").select("id", F.lit(2).alias("part"), F.col("specifier").alias("what")).distinct()
-    callers = calls.join(wanted.select(F.col("id").alias("callee")), "callee", "left_semi").select(F.col("callee").alias("id"), F.lit(3).alias("part"), F.col("caller").alias("what"))
+    used = own.select("id", F.col("file").alias("src")).join(imports.hint("merge"), "src").select("id", F.lit(2).alias("part"), F.col("specifier").alias("what")).distinct()
+    callers = calls.join(wanted.select(F.col("id").alias("callee")).hint("merge"), "callee", "left_semi").select(F.col("callee").alias("id"), F.lit(3).alias("part"), F.col("caller").alias("what"))
     return body.unionByName(used).unionByName(callers)
 
 

@@ -212,7 +212,7 @@ union all select f || '::f' || p_partkey || '#function', 3, 'pkg' || (p_partkey
 union all select f || '::f' || p_partkey || '#function', 3, 'tests/test_m' || p_partkey || '.py::test_f' || p_partkey || '#function' from w where p_partkey % 50 = 0""")
 def context_bundles(spark, sf):
     files = generated.modules(spark, sf)
-    symbols, used = parsing.symbols(files), parsing.imports(files)
+    symbols, used = parsing.parsed(files)
     wanted = table(spark, sf, "part").select((F.col("p_partkey") + 10).alias("p")).where("p % 25 = 0").select(F.concat(F.lit("pkg"), (F.col("p") % 7).cast("string"), F.lit("/m"), F.col("p").cast("string"), F.lit(".py::f"), F.col("p").cast("string"), F.lit("#function")).alias("id"))
     return ranking.context_bundle(symbols, wanted, used, parsing.calls(symbols, parsing.edges(used, files)))
 

@@ -4,7 +4,7 @@ from sextant.operators import parsing
 from sextant.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ONCE = ["parsed_call_edges", "parsed_dead_code", "parsed_never_called", "parsed_untested", "text_callers"]
+ONCE = ["parsed_call_edges", "parsed_dead_code", "parsed_never_called", "parsed_untested", "text_callers", "context_bundles"]
 
 
 @pytest.mark.parametrize("name", ONCE)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sextant.operators.graph import cut
 from sextant.operators.metrics import nearest_rank
 
 OTEL = "resourceSpans array<struct<scopeSpans: array<struct<spans: array<struct<name: string, startTimeUnixNano: string, endTimeUnixNano: string, attributes: array<struct<key: string, value: struct<stringValue: string, intValue: string>>>>>>>>>"
@@ -151,7 +152,7 @@ def stack_json(lines: DataFrame) -> DataFrame:
     return kept.select("id", F.when(level.isNotNull(), severity(level)).otherwise(told).alias("severity"), j("ts", "timestamp", "time").alias("ts"), j("message").alias("message"), j("stack_trace", "stack", "exception").alias("text")).where("trim(text) <> ''")
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: str = "file") -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, by: str = "file", few: int = 0) -> DataFrame:
     """Each point (point_id, by, line) with the narrowest span (symbol_id, by, start, end) around it, ties to the smaller symbol.
 
     A closed span is dealt to the few cells that make it up, of 1, 2, 4, ...
@@ -160,7 +161,12 @@ def innermost(points: DataFrame, spans: DataFrame, by: str = "file") -> DataFram
     meets all spans around it. A null end is open: such a span is wider than
     any closed one, and of open ones the last that starts at or before the
     point is the narrowest, found by a running maximum over lines and spans of
-    the same `by` in one sort. Points count by their lines until the end.
+    the same `by` in one sort. Points count by their lines until the end; each
+    line with what closed spans give it, or null, is written down, as it is
+    read twice (an anti-join would be pushed below the distinct lines, to all
+    points). If at most `few` lines have an answer, counted, these are
+    broadcast, and points are dealt out once, by their ids, instead of by their
+    lines too.
     """
     k, start, end = F.col("size"), F.col("start").cast("long"), F.col("end").cast("long")
     bits = F.length(F.bin(end - start + 1))
@@ -171,16 +177,19 @@ def innermost(points: DataFrame, spans: DataFrame, by: str = "file") -> DataFram
     pieces = ends.select(by, "size", F.lit(0).cast("long").alias("rank"), (F.col("end") - F.col("start")).alias("width"), "symbol_id", F.explode(F.array_compact(F.array(odd("first"), odd("past")))).alias("cell"))
     cells = pieces.groupBy(by, "size", "cell").agg(F.min(F.struct("rank", "width", "symbol_id")).alias("b"))
     lines = points.where(F.col(by).isNotNull()).select(by, F.col("line").cast("long").alias("at")).where("at is not null").distinct()
-    asked = lines.crossJoin(F.broadcast(closed.agg(F.max(bits).alias("sizes")))).select(by, "at", F.explode(F.sequence(F.lit(0), F.col("sizes") - 1)).alias("size")).withColumn("cell", _cell(F.col("at"), k))
-    best = asked.join(cells.hint("merge"), [by, "size", "cell"]).groupBy(by, "at").agg(F.min("b").alias("b"))
+    sizes = closed.agg(F.coalesce(F.max(bits), F.lit(1)).alias("sizes"))
+    asked = lines.crossJoin(F.broadcast(sizes)).select(by, "at", F.explode(F.sequence(F.lit(0), F.col("sizes") - 1)).alias("size")).withColumn("cell", _cell(F.col("at"), k))
+    best = cut(asked.join(cells.hint("merge"), [by, "size", "cell"], "left").groupBy(by, "at").agg(F.min("b").alias("b")))
 
-    none = F.lit(None).cast(cells.schema["b"].dataType)
     last = F.struct(F.lit(1).cast("long").alias("rank"), (-start).alias("width"), F.col("symbol_id"))
     marks = spans.where(F.col("end").isNull() & F.col(by).isNotNull()).groupBy(by, start.alias("at")).agg(F.min(last).alias("b")).select(by, "at", F.lit(0).alias("later"), "b")
-    left = lines.join(best.hint("merge"), [by, "at"], "left_anti").select(by, "at", F.lit(1).alias("later"), none.alias("b"))
+    left = best.where("b is null").select(by, "at", F.lit(1).alias("later"), "b")
     before = Window.partitionBy(by).orderBy("at", "later").rowsBetween(Window.unboundedPreceding, 0)
     open_ = marks.unionByName(left).withColumn("b", F.last("b", ignorenulls=True).over(before)).where("later = 1 and b is not null").select(by, "at", "b")
-    found = points.select("point_id", by, F.col("line").cast("long").alias("at")).join(best.unionByName(open_).hint("merge"), [by, "at"])
+    answers = best.where("b is not null").unionByName(open_)
+    answers = cut(answers) if few else answers
+    answers = F.broadcast(answers) if few and answers.limit(few + 1).count() <= few else answers.hint("merge")
+    found = points.select("point_id", by, F.col("line").cast("long").alias("at")).join(answers, [by, "at"])
     return found.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", F.col("b.symbol_id").alias("symbol_id"))
 
 

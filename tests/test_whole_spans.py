@@ -34,3 +34,33 @@ def test_one_row_a_point_and_no_match_without_a_file(spark):
     points = [(1, "f", 5), (1, "f", 9), (2, "f", 2), (2, "f", 9), (3, None, 4), (4, "f", None), (5, "f", 0)]
     got = runtime.innermost(spark.createDataFrame(points, "point_id long, file string, line long"), spark.createDataFrame(spans, "symbol_id long, file string, start long, end long")).collect()
     assert sorted((r.point_id, r.symbol_id) for r in got) == [(1, 8), (2, 9)]
+
+
+def moved(spark):
+    """Rows that all stages so far have dealt out."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_points_on_few_lines_are_dealt_out_once(spark):
+    """Broadcast as they are few, too many for that or never broadcast, answers are the same; only the first leave points where they are until the end."""
+    n, found = 100_000, 67_500
+    points = spark.range(n).selectExpr("id * 3 point_id", "concat('f', id % 2) file", "id % 40 line")
+    spans = spark.createDataFrame([(k + 10 * f, f"f{f}", s, e) for f in (0, 1) for k, s, e in ((1, 3, 9), (2, 5, 6), (3, 20, None), (4, 30, None), (5, 30, None))], "symbol_id long, file string, start long, end long")
+    want = {k + 10 * f: n // 40 * sum(line % 2 == f for line in lines) for f in (0, 1) for k, lines in ((1, [3, 4, 7, 8, 9]), (2, [5, 6]), (3, range(20, 30)), (4, range(30, 40)))}
+    dealt = []
+    for few in (27, 26, 0):
+        before = moved(spark)
+        assert {r.symbol_id: r["count"] for r in runtime.innermost(points, spans, few=few).groupBy("symbol_id").count().collect()} == want
+        dealt.append(moved(spark) - before)
+    assert found <= dealt[0] < 1.1 * found and min(dealt[1:]) > n + found
+
+
+def test_open_ends_deal_events_out_once(spark):
+    """At any size, as events are on 1,500 lines of 25 files."""
+    from sextant.plans.catalog import QUERIES
+
+    plan = QUERIES["innermost_with_open_ends"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("Exchange hashpartitioning(point_id") == 1
